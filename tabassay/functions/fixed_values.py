@@ -22,13 +22,13 @@ DELIMITER_SAMPLE = 2048
 RECORD_KEYS = ["data", "rows", "records", "items", "results"]
 
 # Numeric grammar.  Texts outside it (also "TBD", "n/a") are not numbers.
-FINITE_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+FINITE_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITE_NUMBER = r"^[+-]?([iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])$"
 
 # The wider grammar of "looks like a number" (Python float literals).
 FLOAT_LITERAL = (
     r"^[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN]"
-    r"|(\p{Nd}+(_\p{Nd}+)*\.?(\p{Nd}+(_\p{Nd}+)*)?|\.\p{Nd}+(_\p{Nd}+)*)"
+    r"|(\p{Nd}+(_\p{Nd}+)*(\.(\p{Nd}+(_\p{Nd}+)*)?)?|\.\p{Nd}+(_\p{Nd}+)*)"
     r"([eE][+-]?\p{Nd}+(_\p{Nd}+)*)?)$"
 )
 
@@ -50,8 +50,9 @@ MOJIBAKE = [
     "Å¡", "Å¾", "Å", "Ä",
 ]
 
-# Letters and digits in one text.
-LETTER_AND_DIGIT = r"[A-Za-z].*\d|\d.*[A-Za-z]"
+# A letter and a digit in one line.  Where both occur, two of them have no
+# other letter or digit between them; put this way, long texts take linear time.
+LETTER_AND_DIGIT = r"[A-Za-z][^A-Za-z0-9\n]*[0-9]|[0-9][^A-Za-z0-9\n]*[A-Za-z]"
 
 # How many leading non-null values the heads look at.
 ID_HEAD, DATE_HEAD, EMAIL_HEAD = 50, 100, 10

@@ -16,7 +16,6 @@ from .profile import column_list
 from .rows import row_sample
 
 MIN_NUMBERS = 10  # a column with more numbers than this is correlated
-PAIRS_PER_SCAN = 40  # keeps one aggregate within what the JVM compiles
 BINS = 30
 
 # Issue kinds, in report order, and what makes a column count.
@@ -61,48 +60,48 @@ def numeric_candidates(df: DataFrame, columns: list[str] | None = None) -> list[
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(i, j, x_col, y_col, r): Pearson over rows where both are numbers, 0 if undefined.
 
-    Every column with more than ten numbers takes part.  Only moments leave a task, so
-    no row is shuffled; many pairs are spread over several scans.
+    Every column with more than ten numbers takes part.  A row fans out into its pairs and
+    collapses again in the same task: only the moments of each pair are shuffled.
     """
     names = numeric_candidates(df, columns)
+    if not names:
+        schema = "i int, j int, x_col string, y_col string, r double"
+        return df.sparkSession.createDataFrame([], schema)
     pos = positions(df)
+    pairs = [(a, a) for a in names] + list(combinations(names, 2))
     wide = df.selectExpr(*[
         f"{cells.as_number(quoted(c), df.schema[c].dataType)} AS `{pos[c]}`" for c in names
     ])
-    pairs = [(a, a) for a in names] + list(combinations(names, 2))
-    parts, rows = [], []
-    counts = [F.expr(f"count(`{pos[c]}`) AS `{pos[c]}n`") for c in names]
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        moments = []
-        for a, b in pairs[start:start + PAIRS_PER_SCAN]:
-            x, y, name = f"`{pos[a]}`", f"`{pos[b]}`", f"{pos[a]}{pos[b]}"
-            both = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
-            moments.append(F.expr(
-                f"try_divide(covar_samp({x}, {y}) {both},"
-                f" stddev_samp({x}) {both} * stddev_samp({y}) {both}) AS `{name}`"
-            ))
-        parts.append(wide.agg(*moments, *(counts if start == 0 else [])))
+    fan = ", ".join(f"(`{pos[a]}`, `{pos[b]}`) AS `{pos[a]}{pos[b]}`" for a, b in pairs)
+    moments = (
+        df.sparkSession.sql(f"SELECT * FROM {{wide}} UNPIVOT ((x, y) FOR pair IN ({fan}))", wide=wide)
+        .where("x IS NOT NULL AND y IS NOT NULL")
+        .groupBy("pair")
+        .agg(F.expr(
+            "struct(count(1) AS n,"
+            " try_divide(covar_samp(x, y), stddev_samp(x) * stddev_samp(y)) AS r) AS found"
+        ))
+        .agg(F.expr("map_from_entries(collect_list(struct(pair, found))) AS of"))
+    )
+    rows = []
     for a, b in pairs:
-        r = f"coalesce(nanvl(`{pos[a]}{pos[b]}`, NULL), 0D)"
-        enough = f"`{pos[a]}n` > {MIN_NUMBERS} AND `{pos[b]}n` > {MIN_NUMBERS}"
-        for x, y in {(a, b), (b, a)}:
-            i, j = df.columns.index(x), df.columns.index(y)
+        enough = " AND ".join(
+            f"try_element_at(of, '{pos[c]}{pos[c]}').n > {MIN_NUMBERS}" for c in (a, b)
+        )
+        r = f"coalesce(nanvl(try_element_at(of, '{pos[a]}{pos[b]}').r, NULL), 0D)"
+        for x, y in dict.fromkeys([(a, b), (b, a)]):
             rows.append(
-                f"IF({enough}, named_struct('i', {i}, 'j', {j}, 'x_col', {literal(x)},"
-                f" 'y_col', {literal(y)}, 'r', {r}), NULL)"
+                f"IF({enough}, named_struct('i', {df.columns.index(x)}, 'j', {df.columns.index(y)},"
+                f" 'x_col', {literal(x)}, 'y_col', {literal(y)}, 'r', {r}), NULL)"
             )
-    if not names:
-        schema = "i int, j int, x_col string, y_col string, r double"
-        return df.sparkSession.createDataFrame([], schema)
-    wide_row = parts[0] if len(parts) == 1 else side_by_side(parts, [])
-    matrix = wide_row.selectExpr(f"array_compact(array({', '.join(rows)})) AS cells")
+    matrix = moments.selectExpr(f"array_compact(array({', '.join(rows)})) AS cells")
     # a single eligible column makes no matrix
     return matrix.where("size(cells) > 1").selectExpr("inline(cells)")
 
 
 def best_correlation_pair(matrix: DataFrame) -> DataFrame:
     """(x_col, y_col, r) of the strongest pair, the first one on ties."""
-    return matrix.where("i < j").orderBy(F.expr("abs(r) DESC"), "i", "j").limit(1).select(
+    return matrix.where("i < j").orderBy(F.expr("abs(r)").desc(), "i", "j").limit(1).select(
         "x_col", "y_col", "r"
     )
 
@@ -111,7 +110,7 @@ def strong_pairs(matrix: DataFrame, least: float = 0.5, limit: int = 8) -> DataF
     """(x_col, y_col, r) of the pairs with |r| at or above the threshold, strongest first."""
     return (
         matrix.where(f"i < j AND abs(r) >= {least}D")
-        .orderBy(F.expr("abs(r) DESC"), "i", "j")
+        .orderBy(F.expr("abs(r)").desc(), "i", "j")
         .limit(limit)
         .select("x_col", "y_col", "r")
     )
@@ -133,7 +132,7 @@ def box_plots(profile: DataFrame, limit: int = 8) -> DataFrame:
     """(column, min, q1, median, q3, max, outliers) of the numeric columns in worst state."""
     return (
         profile.where("dtype = 'numeric'")
-        .orderBy(F.expr("outlier_pct + null_pct DESC"), "ordinal")
+        .orderBy(F.expr("outlier_pct + null_pct").desc(), "ordinal")
         .limit(limit)
         .where("parsed_count >= 5")
         .selectExpr(

@@ -88,7 +88,7 @@ def ks_statistic(
         return current.sparkSession.createDataFrame([], schema)
     rows = _values(baseline, columns, "old").unionByName(_values(current, columns, "new"))
     counted = rows.groupBy("column", "num").agg(F.expr("sum(old) AS old"), F.expr("sum(new) AS new"))
-    cuts = f"transform(sequence(1, {SLICES - 1}), i -> i / {SLICES}D)"
+    cuts = f"array({', '.join(f'{i / SLICES}D' for i in range(1, SLICES))})"
     edges = counted.groupBy("column").agg(
         F.expr(f"percentile_approx(num, {cuts}, {ACCURACY}) AS edges")
     )
