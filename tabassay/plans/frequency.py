@@ -112,10 +112,12 @@ class Frequencies:
         )
 
     def numbers(self) -> DataFrame:
-        """(segment..., pos, num, n) over the values that are numbers."""
-        return self._read().selectExpr(*self.keys, f"{self._number()} AS num", "n").where(
-            "num IS NOT NULL"
-        )
+        """(segment..., pos, num, n) over the values that are numbers.
+
+        The generator keeps the filter above the parsing, which else would run twice.
+        """
+        parsed = self._read().selectExpr(*self.keys, "n", f"explode(array({self._number()})) AS num")
+        return parsed.where("num IS NOT NULL").selectExpr(*self.keys, "num", "n")
 
     def facts(self) -> DataFrame:
         """What each distinct value says about its column; typed values skip text tests."""

@@ -84,44 +84,62 @@ def exact_quantiles(
     keys = [quoted(g) for g in group]
     columns = [F.expr(k) for k in keys]
     if estimated_bytes(df) > small_bytes:
-        k = range(len(probs))
-        bracket = brackets(df, expressions, probs, segment_by, small_rows)
-        rows = join_keys(numbers, per_column(bracket, segment_by), group)
-        outside = " AND ".join(f"NOT num BETWEEN lo[{i}] AND hi[{i}]" for i in k)
-        gap = " + ".join(f"int(num > hi[{i}])" for i in k)
-        rows = rows.selectExpr(*keys, "num", "n", f"IF({outside}, {gap}, NULL) AS gap")
+        rows = _collapsed(df, numbers, expressions, probs, segment_by, small_rows)
     else:
-        rows = numbers.selectExpr(*keys, "num", "n", "CAST(NULL AS INT) AS gap")
-    # Values outside every bracket collapse to one row per gap, at the gap's first value.
-    lined_up = rows.groupBy(*columns, "gap", F.expr("IF(gap IS NULL, num, NULL) AS exact")).agg(
-        F.expr("sum(n) AS n"), F.expr("min(num) AS num")
-    )
-    whole_column = Window.partitionBy(*columns)
-    ranked = lined_up.select(
-        *columns,
-        "gap",
-        "num",
-        F.sum("n").over(whole_column.orderBy("num")).alias("upto"),
-        F.sum("n").over(whole_column).alias("total"),
+        totals = numbers.groupBy(*columns).agg(F.expr("sum(n) AS total"))
+        rows = join_keys(numbers, per_column(totals, segment_by), group)
+        rows = rows.selectExpr(*keys, "num", "n", "total", "false AS collapsed")
+    order = Window.partitionBy(*columns).orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = {
+        f"{end}{i}": f"{end}({p}D * (total - 1))"
+        for i, p in enumerate(probs)
+        for end in ("floor", "ceil")
+    }
+
+    def holds(rank: str) -> str:
+        return f"upto > {rank} AND upto - n <= {rank}"
+
+    # only the one or two rows that hold a quantile go on
+    found = (
+        rows.withColumn("upto", F.sum("n").over(order))
+        .where(" OR ".join(f"({holds(r)})" for r in ranks.values()))
+        .selectExpr(
+            *keys, "total", "n", "upto",
+            "CASE WHEN collapsed THEN double(raise_error('a quantile lies outside its bracket'))"
+            " ELSE num END AS num",
+        )
+        .groupBy(*columns)
+        .agg(
+            F.expr("max(total) AS total"),
+            *[F.expr(f"max(num) FILTER (WHERE {holds(r)}) AS {name}") for name, r in ranks.items()],
+        )
     )
-    ends = []
-    for i, p in enumerate(probs):
-        rank = f"{p}D * (total - 1)"
-        for end in ("floor", "ceil"):
-            ends.append(F.expr(
-                f"min(struct(num, gap)) FILTER (WHERE upto > {end}({rank})) AS {end}{i}"
-            ))
     values = ", ".join(
-        f"CASE WHEN floor{i}.gap IS NOT NULL OR ceil{i}.gap IS NOT NULL"
-        f" THEN double(raise_error('a quantile lies outside its bracket'))"
-        f" WHEN floor{i}.num = ceil{i}.num THEN floor{i}.num"
-        f" ELSE floor{i}.num + (ceil{i}.num - floor{i}.num) * pmod({p}D * (total - 1), 1D) END"
+        f"CASE WHEN floor{i} = ceil{i} THEN floor{i}"
+        f" ELSE floor{i} + (ceil{i} - floor{i}) * pmod({p}D * (total - 1), 1D) END"
         for i, p in enumerate(probs)
     )
+    return found.selectExpr(*keys, f"array({values}) AS quantiles")
+
+
+def _collapsed(df, numbers, expressions, probs, segment_by, small_rows) -> DataFrame:
+    """The numbers with all values outside the brackets collapsed to one row per gap.
+
+    A gap's row stands at its first value, so the order of the rows is kept.
+    """
+    group = [*segment_by, "pos"]
+    keys = [quoted(g) for g in group]
+    k = range(len(probs))
+    bracket = brackets(df, expressions, probs, segment_by, small_rows)
+    outside = " AND ".join(f"NOT num BETWEEN lo[{i}] AND hi[{i}]" for i in k)
+    gap = " + ".join(f"int(num > hi[{i}])" for i in k)
     return (
-        ranked.groupBy(*columns)
-        .agg(F.expr("max(total) AS total"), *ends)
-        .selectExpr(*keys, f"array({values}) AS quantiles")
+        join_keys(numbers, per_column(bracket, segment_by), group)
+        .selectExpr(*keys, "num", "n", "total", f"IF({outside}, {gap}, NULL) AS gap")
+        .selectExpr("*", "IF(gap IS NULL, num, NULL) AS exact")
+        .groupBy(*[F.expr(c) for c in keys], "total", "gap", "exact")
+        .agg(F.expr("sum(n) AS n"), F.expr("min(num) AS num"))
+        .selectExpr(*keys, "num", "n", "total", "gap IS NOT NULL AS collapsed")
     )
 
 
