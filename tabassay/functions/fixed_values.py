@@ -75,9 +75,6 @@ DATE_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy", "MMM d, yyyy", "yyyy-MM", "yyyy",
 ]
 
-# Presets offered for a row sample.
-SAMPLE_PRESETS = [1_000, 5_000, 10_000, 25_000, 50_000, 100_000]
-
 # Sector profiles - label, purpose, origin of the weights, dimension
 # weights (each set sums to 1) and, per role, the column names that may fill it.
 SECTOR_PROFILES = {

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..functions.cells import literal, quoted
 from ..plans.frequency import TEXT, kind_of
+from ..plans.keys import attach
+from ..plans.slices import DEFAULT, Slicing, in_slices
 
 MIN_VALUES = 10  # a side needs more numbers than this
 SIGNIFICANCE = 0.05
-SLICES = 256  # a power of two
-ACCURACY = 10_000
 
 
 def _listed(spark, rows: list[str], schema: str) -> DataFrame:
@@ -43,37 +43,27 @@ def type_changed(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def _values(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    """(column, num, side) rows over the numbers of some columns."""
+    """(pos, num, old, new) rows over the numbers of some columns; pos is the column."""
     wide = df.selectExpr(*[
         f"{cells.as_number(quoted(c), df.schema[c].dataType)} AS {quoted(c)}" for c in columns
     ])
-    long = wide.unpivot([], [F.col(quoted(c)) for c in columns], "column", "num")
+    long = wide.unpivot([], [F.col(quoted(c)) for c in columns], "pos", "num")
     old = int(side == "old")
-    return long.where("num IS NOT NULL").selectExpr("column", "num", f"{old} AS old", f"{1 - old} AS new")
-
-
-def _in_slices(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """The rows with ``slice``, the number of edges at or below the value (binary search)."""
-    placed = rows.join(F.broadcast(edges), "column").selectExpr(*rows.columns, "edges", "0 AS slice")
-    step = SLICES // 2
-    while step:
-        placed = placed.selectExpr(
-            *rows.columns, "edges",
-            f"slice + IF(num >= edges[slice + {step} - 1], {step}, 0) AS slice",
-        )
-        step //= 2
-    return placed.selectExpr(*rows.columns, "slice")
+    return long.where("num IS NOT NULL").selectExpr("pos", "num", f"{old} AS old", f"{1 - old} AS new")
 
 
 def ks_statistic(
-    baseline: DataFrame, current: DataFrame, columns: list[str] | None = None
+    baseline: DataFrame,
+    current: DataFrame,
+    columns: list[str] | None = None,
+    slicing: Slicing = DEFAULT,
 ) -> DataFrame:
     """(column, n_baseline, n_current, statistic): two-sample Kolmogorov-Smirnov D.
 
     D needs the running counts of both sides over all distinct values of a column.  The
-    values are cut into slices of about equal size at approximate quantiles; a running
-    sum inside each slice starts from the totals of the slices before it.  So no task
-    orders a whole column, and the answer does not depend on where the cuts fall.
+    values are cut into slices of about equal size; a running sum inside each slice starts
+    from the totals of the slices before it.  So no task orders a whole column, and the
+    answer does not depend on where the cuts fall.
     """
     common = [c for c in baseline.columns if c in current.columns]
     columns = [
@@ -87,41 +77,32 @@ def ks_statistic(
         schema = "column string, n_baseline bigint, n_current bigint, statistic double"
         return current.sparkSession.createDataFrame([], schema)
     rows = _values(baseline, columns, "old").unionByName(_values(current, columns, "new"))
-    counted = rows.groupBy("column", "num").agg(F.expr("sum(old) AS old"), F.expr("sum(new) AS new"))
-    cuts = f"array({', '.join(f'{i / SLICES}D' for i in range(1, SLICES))})"
-    edges = counted.groupBy("column").agg(
-        F.expr(f"percentile_approx(num, {cuts}, {ACCURACY}) AS edges")
+    counted = rows.groupBy("pos", "num").agg(F.expr("sum(old) AS old"), F.expr("sum(new) AS new"))
+    sliced = in_slices(counted, [], slicing)
+    column = Window.partitionBy("pos")
+    earlier = column.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy("pos", "slice").agg(F.expr("sum(old) AS old"), F.expr("sum(new) AS new"))
+    starts = sums.select(
+        "pos",
+        "slice",
+        F.coalesce(F.sum("old").over(earlier), F.lit(0)).alias("old_before"),
+        F.coalesce(F.sum("new").over(earlier), F.lit(0)).alias("new_before"),
+        F.sum("old").over(column).alias("n_baseline"),
+        F.sum("new").over(column).alias("n_current"),
+    ).where(f"n_baseline > {MIN_VALUES} AND n_current > {MIN_VALUES}")
+    inside = Window.partitionBy("pos", "slice").orderBy("num")
+    running = sliced.select(
+        "pos",
+        "slice",
+        F.sum("old").over(inside).alias("old_upto"),
+        F.sum("new").over(inside).alias("new_upto"),
     )
-    sliced = _in_slices(counted, edges)
-    before = Window.partitionBy("column").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("column")
-    starts = (
-        sliced.groupBy("column", "slice")
-        .agg(F.expr("sum(old) AS old"), F.expr("sum(new) AS new"))
-        .select(
-            "column",
-            "slice",
-            F.coalesce(F.sum("old").over(before), F.lit(0)).alias("old_before"),
-            F.coalesce(F.sum("new").over(before), F.lit(0)).alias("new_before"),
-            F.sum("old").over(whole).alias("n_baseline"),
-            F.sum("new").over(whole).alias("n_current"),
-        )
-    )
-    inside = Window.partitionBy("column", "slice").orderBy("num")
+    apart = "abs((old_before + old_upto) / n_baseline - (new_before + new_upto) / n_current)"
     return (
-        sliced.select(
-            "column",
-            "slice",
-            F.sum("old").over(inside).alias("old_upto"),
-            F.sum("new").over(inside).alias("new_upto"),
-        )
-        .join(F.broadcast(starts), ["column", "slice"])  # slices x columns rows at most
-        .where(f"n_baseline > {MIN_VALUES} AND n_current > {MIN_VALUES}")
-        .groupBy("column", "n_baseline", "n_current")
-        .agg(F.expr(
-            "max(abs((old_before + old_upto) / n_baseline - (new_before + new_upto) / n_current))"
-            " AS statistic"
-        ))
+        attach(running, starts, [], "slice", ("pos", "slice"))
+        .groupBy("pos", "n_baseline", "n_current")
+        .agg(F.expr(f"max({apart}) AS statistic"))
+        .withColumnRenamed("pos", "column")
     )
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..functions import fixed_values as fv
 from ..functions.cells import literal, quoted
-from ..plans import quantiles
 from ..plans.frequency import TEXT, Frequencies, kind_of, positions
-from ..plans.keys import join_keys, per_column
+from ..plans.keys import attach, by, join_keys, per_column
+from ..plans.quantiles import exact_quantiles
+from ..plans.slices import DEFAULT, Slicing
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -38,7 +39,8 @@ def column_list(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _column_facts(frequencies: Frequencies) -> DataFrame:
     """Counts, moments and flags of each column, from its distinct values."""
-    return frequencies.facts().groupBy(*[F.expr(k) for k in frequencies.keys]).agg(*map(F.expr, [
+    keys = frequencies.keys
+    facts = frequencies.facts().groupBy(*[F.expr(k) for k in keys]).agg(*map(F.expr, [
         "sum(n) AS total_count",
         f"{_count('NOT filled')} AS null_count",
         "count_if(filled) AS unique_count",
@@ -56,6 +58,10 @@ def _column_facts(frequencies: Frequencies) -> DataFrame:
         "coalesce(bool_or(has_at), false) AS has_at",
         "coalesce(bit_count(bit_or(shape)), 0) AS shapes",
     ]))
+    # The generator hands all columns on together, so readers that need only some of them
+    # still ask for the same aggregate, and it is computed once.
+    values = [c for c in facts.columns if c not in frequencies.segment_by and c != "pos"]
+    return facts.selectExpr(*keys, f"inline(array(struct({', '.join(values)})))")
 
 
 def _head_facts(df: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
@@ -109,14 +115,13 @@ def _spread(numbers: DataFrame, quartiles: DataFrame, segment_by: list[str]) ->
 
     Squares are taken around the median, so that the variance does not cancel out.
     """
-    group = [*segment_by, "pos"]
 
     def outside(width: float) -> str:
         return f"num < q1 - {width}D * (q3 - q1) OR num > q3 + {width}D * (q3 - q1)"
 
     return (
-        join_keys(numbers, per_column(quartiles, segment_by), group)
-        .groupBy(*[F.expr(quoted(g)) for g in group])
+        attach(numbers, quartiles, segment_by, "num")
+        .groupBy(*by(segment_by), "pos")
         .agg(*map(F.expr, [
             f"{_count(outside(1.5))} AS outliers",
             f"{_count(outside(5.0))} AS extremes",
@@ -133,8 +138,7 @@ def profile_table(
     segment_by: list[str] | tuple = (),
     order_by: list[str] | tuple = (),
     id_heuristic: bool = True,
-    small_rows: int = quantiles.SMALL_ROWS,
-    small_bytes: int = quantiles.SMALL_BYTES,
+    slicing: Slicing = DEFAULT,
 ) -> DataFrame:
     """Profile every column: one row per (segment, column), lazily.
 
@@ -162,16 +166,12 @@ def profile_table(
     facts = _decide_dtype(facts, id_heuristic)
 
     numbers = frequencies.numbers()
-    readable = {
-        frequencies.pos[c]: cells.as_number(quoted(c), t)
-        for c, t in dtypes.items()
-        if isinstance(t, cells.NUMERIC) or kind_of(t) == TEXT
-    }
+    readable = any(isinstance(t, cells.NUMERIC) or kind_of(t) == TEXT for t in dtypes.values())
     parts = []
     if readable:
-        quartiles = quantiles.exact_quantiles(
-            df, numbers, readable, QUARTILES, segment_by, small_rows, small_bytes
-        ).selectExpr(*keys, "quantiles[0] AS q1", "quantiles[1] AS median", "quantiles[2] AS q3")
+        quartiles = exact_quantiles(numbers, QUARTILES, segment_by, slicing).selectExpr(
+            *keys, "quantiles[0] AS q1", "quantiles[1] AS median", "quantiles[2] AS q3"
+        )
         parts = [quartiles, _spread(numbers, quartiles, segment_by)]
     categorical = facts.where("dtype = 'categorical'").selectExpr(*keys)
     parts.append(frequencies.top_values(categorical))

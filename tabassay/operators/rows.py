@@ -31,8 +31,8 @@ def row_sample(df: DataFrame, n: int, key: list[str] | None = None) -> DataFrame
     """Exactly n rows (all when there are fewer), the same rows on every run.
 
     Rows are taken in the order of a hash of ``key``, of the whole row when it is not
-    given.  A count per leading hash byte pair (65,536 counts at most) tells how far down
-    that order the sample reaches, so only rows near the sample are sorted.
+    given.  A count per five leading hex digits (a million counts at most) tells how far
+    down that order the sample reaches, so only rows near the sample are sorted.
     """
     if n < 1:
         raise ValueError("a sample has at least one row")
@@ -43,13 +43,13 @@ def row_sample(df: DataFrame, n: int, key: list[str] | None = None) -> DataFrame
         mark = f"md5(concat(hex({cells.row_digest(df.schema)}), '{SEED}'))"
     marked = df.selectExpr(*map(quoted, df.columns), f"{mark} AS `#mark`")
     per_prefix = (
-        marked.groupBy(F.expr("substring(`#mark`, 1, 4) AS prefix"))
+        marked.groupBy(F.expr("substring(`#mark`, 1, 5) AS prefix"))
         .agg(F.expr("count(1) AS n"))
         .selectExpr("prefix", "sum(n) OVER (ORDER BY prefix) AS upto")
     )
     # NULL when the table has no more than n rows: then every row is near the sample
     last = per_prefix.where(f"upto >= {n}").agg(F.min("prefix")).scalar()
-    near = F.substring("#mark", 1, 4) <= F.coalesce(last, F.lit("ffff"))
+    near = F.substring("#mark", 1, 5) <= F.coalesce(last, F.lit("fffff"))
     return marked.where(near).orderBy("#mark").limit(n).drop("#mark")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import cells
 from ..functions.cells import quoted
-from .keys import join_keys, per_column
+from .keys import attach
 
 WHOLE, REAL, DECIMAL, TEXT = "whole", "real", "decimal", "text"
 MOMENT, DAY, FLAG = "moment", "day", "flag"
@@ -159,11 +159,8 @@ class Frequencies:
         """
         keys = [F.expr(c) for c in self.keys]
         order = Window.partitionBy(*keys).orderBy(F.desc("n"), "w", "r", "t")
-        rows = join_keys(
-            self.table.selectExpr(*self.keys, "w", "r", "t", "n"),
-            per_column(wanted, self.segment_by),
-            [*self.segment_by, "pos"],
-        )
+        values = self.table.selectExpr(*self.keys, "w", "r", "t", "n")
+        rows = attach(values, wanted, self.segment_by, "w, r, t")
         best = (
             rows.where("CASE WHEN n > 0 THEN coalesce(w, r) IS NOT NULL OR t IS NOT NULL END")
             .withColumn("rank", F.row_number().over(order))

@@ -21,6 +21,32 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return joined if how == "left_semi" else joined.selectExpr(*map(quoted, left.columns + kept))
 
 
+SALTS = 32
+
+
+def attach(
+    rows: DataFrame,
+    summary: DataFrame,
+    segment_by: list[str],
+    spread: str,
+    keys: tuple = ("pos",),
+    how: str = "inner",
+) -> DataFrame:
+    """Many rows, each with the summary that has its segment and ``keys``.
+
+    Without segments the summary has a few rows per column of the schema and is broadcast.
+    With segments it grows with the data, and one segment may hold a third of the rows: then
+    its rows are spread over several tasks by the expression ``spread``, and the summary
+    rows (a few numbers each) are repeated for them.
+    """
+    on = [*segment_by, *keys]
+    if not segment_by:
+        return join_keys(rows, F.broadcast(summary), on, how)
+    salted = rows.selectExpr("*", f"pmod(xxhash64({spread}), {SALTS}) AS `#salt`")
+    copies = summary.selectExpr("*", f"explode(sequence(0L, {SALTS - 1}L)) AS `#salt`")
+    return join_keys(salted, copies, [*on, "#salt"], how).drop("#salt")
+
+
 def per_column(summary: DataFrame, segment_by: list[str]) -> DataFrame:
     """Hint a per-column summary as broadcast when its size is bounded.
 

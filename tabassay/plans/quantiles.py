@@ -1,9 +1,7 @@
 """Exact quantiles without gathering a column in one task.
 
-``percentile`` keeps every distinct value of a group in one task's memory.  Here a
-bounded-size sketch first brackets each quantile (``percentile_approx`` promises a
-rank error of at most 1/accuracy), everything outside the brackets collapses to one
-count per gap, and only the few values inside them are ordered.
+``percentile`` keeps every distinct value of a group in one task's memory.  Here exact sums
+per slice tell which slices hold the wanted ranks, and only those slices are ordered.
 """
 
 from __future__ import annotations
@@ -12,102 +10,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import quoted
-from .keys import join_keys, per_column
-
-ACCURACY = 10_000
-SLACK = 3 / ACCURACY  # three times the promised rank error
-SMALL_ROWS = 100_000  # columns with up to this many numbers are ordered whole
-SMALL_BYTES = 64 << 20  # so are the columns of tables the optimizer puts below this size
-
-
-def estimated_bytes(df: DataFrame) -> float:
-    """The optimizer's size estimate; infinite when it is not available."""
-    try:
-        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except AttributeError:  # a remote session has no local plan
-        return float("inf")
-
-
-def brackets(
-    df: DataFrame,
-    expressions: dict[str, str],
-    probs: list[float],
-    segment_by: list[str],
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
-    """(segment..., pos, total, lo, hi): one wide aggregate, no row is shuffled.
-
-    ``expressions`` maps pos to the SQL text of a double.
-    """
-    keys = [quoted(s) for s in segment_by]
-    edges = [max(p - SLACK, 0.0) for p in probs] + [min(p + SLACK, 1.0) for p in probs]
-    wanted = f"array({', '.join(f'{e}D' for e in edges)})"
-    k = len(probs)
-    aggregates, rows = [], []
-    for pos, number in expressions.items():
-        aggregates += [
-            F.expr(f"count({number}) AS `{pos}n`"),
-            F.expr(f"percentile_approx({number}, {wanted}, {ACCURACY}) AS `{pos}e`"),
-        ]
-        rows.append(f"struct('{pos}' AS pos, `{pos}n` AS total, `{pos}e` AS edges)")
-    whole = f"edges IS NULL OR total <= {small_rows}"
-    return (
-        df.groupBy(*[F.expr(s) for s in keys])
-        .agg(*aggregates)
-        .selectExpr(*keys, f"inline(array({', '.join(rows)}))")
-        .selectExpr(
-            *keys,
-            "pos",
-            "total",
-            f"IF({whole}, array_repeat(double('-inf'), {k}), slice(edges, 1, {k})) AS lo",
-            f"IF({whole}, array_repeat(double('inf'), {k}), slice(edges, {k + 1}, {k})) AS hi",
-        )
-    )
+from .frequency import Frequencies
+from .keys import attach
+from .slices import DEFAULT, Slicing, in_slices
 
 
 def exact_quantiles(
-    df: DataFrame,
-    numbers: DataFrame,
-    expressions: dict[str, str],
-    probs: list[float],
-    segment_by: list[str],
-    small_rows: int = SMALL_ROWS,
-    small_bytes: int = SMALL_BYTES,
+    numbers: DataFrame, probs: list[float], segment_by: list[str], how: Slicing = DEFAULT
 ) -> DataFrame:
     """(segment..., pos, quantiles): linear interpolation, one array entry per prob.
 
-    ``numbers`` holds (segment..., pos, num, n) with num never NULL, counted from ``df``.
-    The size estimate only decides whether a sketch is worth its cost; the quantiles
-    are the same either way.
+    ``numbers`` holds (segment..., pos, num, n) with num never NULL.
     """
-    group = [*segment_by, "pos"]
-    keys = [quoted(g) for g in group]
+    keys = [quoted(g) for g in (*segment_by, "pos")]
     columns = [F.expr(k) for k in keys]
-    if estimated_bytes(df) > small_bytes:
-        rows = _collapsed(df, numbers, expressions, probs, segment_by, small_rows)
-    else:
-        totals = numbers.groupBy(*columns).agg(F.expr("sum(n) AS total"))
-        rows = join_keys(numbers, per_column(totals, segment_by), group)
-        rows = rows.selectExpr(*keys, "num", "n", "total", "false AS collapsed")
-    order = Window.partitionBy(*columns).orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
+    sliced = in_slices(numbers, segment_by, how)
+
+    column = Window.partitionBy(*columns)
+    earlier = column.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        sliced.groupBy(*columns, "slice")
+        .agg(F.expr("sum(n) AS size"))
+        .withColumn("start", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+        .withColumn("total", F.sum("size").over(column))
+    )
     ranks = {
         f"{end}{i}": f"{end}({p}D * (total - 1))"
         for i, p in enumerate(probs)
         for end in ("floor", "ceil")
     }
+    wanted = starts.where(
+        " OR ".join(f"(start <= {r} AND {r} < start + size)" for r in ranks.values())
+    ).drop("size")
 
     def holds(rank: str) -> str:
-        return f"upto > {rank} AND upto - n <= {rank}"
+        return f"(upto > {rank} AND upto - n <= {rank})"
 
-    # only the one or two rows that hold a quantile go on
+    inside = Window.partitionBy(*columns, "slice").orderBy("num").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
     found = (
-        rows.withColumn("upto", F.sum("n").over(order))
-        .where(" OR ".join(f"({holds(r)})" for r in ranks.values()))
-        .selectExpr(
-            *keys, "total", "n", "upto",
-            "CASE WHEN collapsed THEN double(raise_error('a quantile lies outside its bracket'))"
-            " ELSE num END AS num",
-        )
+        attach(sliced, wanted, segment_by, "num", ("pos", "slice"))
+        .withColumn("upto", F.col("start") + F.sum("n").over(inside))
+        .where(" OR ".join(holds(r) for r in ranks.values()))
         .groupBy(*columns)
         .agg(
             F.expr("max(total) AS total"),
@@ -122,41 +67,9 @@ def exact_quantiles(
     return found.selectExpr(*keys, f"array({values}) AS quantiles")
 
 
-def _collapsed(df, numbers, expressions, probs, segment_by, small_rows) -> DataFrame:
-    """The numbers with all values outside the brackets collapsed to one row per gap.
-
-    A gap's row stands at its first value, so the order of the rows is kept.
-    """
-    group = [*segment_by, "pos"]
-    keys = [quoted(g) for g in group]
-    k = range(len(probs))
-    bracket = brackets(df, expressions, probs, segment_by, small_rows)
-    outside = " AND ".join(f"NOT num BETWEEN lo[{i}] AND hi[{i}]" for i in k)
-    gap = " + ".join(f"int(num > hi[{i}])" for i in k)
-    return (
-        join_keys(numbers, per_column(bracket, segment_by), group)
-        .selectExpr(*keys, "num", "n", "total", f"IF({outside}, {gap}, NULL) AS gap")
-        .selectExpr("*", "IF(gap IS NULL, num, NULL) AS exact")
-        .groupBy(*[F.expr(c) for c in keys], "total", "gap", "exact")
-        .agg(F.expr("sum(n) AS n"), F.expr("min(num) AS num"))
-        .selectExpr(*keys, "num", "n", "total", "gap IS NOT NULL AS collapsed")
-    )
-
-
 def column_quantiles(
-    df: DataFrame,
-    number: str,
-    probs: list[float],
-    small_rows: int = SMALL_ROWS,
-    small_bytes: int = SMALL_BYTES,
+    df: DataFrame, number: str, probs: list[float], how: Slicing = DEFAULT
 ) -> DataFrame:
     """One row (quantiles) for one numeric expression; no row when it has no number."""
-    source = df.selectExpr(f"{number} AS num")
-    numbers = (
-        source.where("num IS NOT NULL")
-        .groupBy("num")
-        .agg(F.expr("count(1) AS n"))
-        .selectExpr("'#' AS pos", "num", "n")
-    )
-    found = exact_quantiles(source, numbers, {"#": "num"}, probs, [], small_rows, small_bytes)
-    return found.select("quantiles")
+    frequencies = Frequencies(df.selectExpr(f"{number} AS num"), ["num"], [])
+    return exact_quantiles(frequencies.numbers(), probs, [], how).select("quantiles")

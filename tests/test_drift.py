@@ -8,6 +8,7 @@ from tabassay import (
     columns_added_removed, distribution_shifted, drift_summary, ks_statistic, schema_drift,
     type_changed,
 )
+from tabassay.plans.slices import Slicing
 
 
 def text(spark, values):
@@ -45,9 +46,10 @@ def test_statistic_against_brute_force(spark, kind):
     else:  # one value holds most rows
         a = [rng.choice([5.0, 5.0, 5.0, rng.random() * 10]) for _ in range(900)]
         b = [rng.choice([5.0, 5.0, rng.random() * 12]) for _ in range(700)]
-    found = ks_statistic(text(spark, a), text(spark, b)).first()
-    assert (found["n_baseline"], found["n_current"]) == (900, 700)
-    assert found["statistic"] == pytest.approx(brute_force(a, b), abs=1e-12)
+    for slicing in (Slicing(), Slicing(slices=16, share=3, worth=10)):
+        found = ks_statistic(text(spark, a), text(spark, b), slicing=slicing).first()
+        assert (found["n_baseline"], found["n_current"]) == (900, 700)
+        assert found["statistic"] == pytest.approx(brute_force(a, b), abs=1e-12)
 
 
 def test_p_value_series(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabassay import (
     column_quality, column_scores, duplicate_rows, effective_score, profile_table, table_score,
 )
+from tabassay.plans.slices import Slicing
 
 
 def by_column(profile):
@@ -135,17 +136,19 @@ def test_segments_agree_with_single_profiles(spark):
     assert table.count() == 3
 
 
+@pytest.mark.parametrize("slicing", [
+    Slicing(), Slicing(slices=64, share=4, worth=10), Slicing(slices=4, share=1000, worth=1)])
 @pytest.mark.parametrize("shape", ["spread", "ties", "tails"])
-def test_bracketed_quantiles_are_exact(spark, shape):
+def test_quantiles_do_not_depend_on_the_slices(spark, shape, slicing):
     rng = random.Random(7)
     draw = {
         "spread": lambda: rng.gauss(0, 1),
         "ties": lambda: float(rng.choice([1, 1, 1, 2, 3, 50])),
         "tails": lambda: rng.paretovariate(0.5),
     }[shape]
-    values = [draw() for _ in range(60_000)]
+    values = [draw() for _ in range(20_000)]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
-    p = profile_table(rows, id_heuristic=False, small_rows=0, small_bytes=0).first()
+    p = profile_table(rows, id_heuristic=False, slicing=slicing).first()
     expected = rows.selectExpr("percentile(v, array(0.25, 0.5, 0.75)) AS q").first()["q"]
     assert [p["q1"], p["median"], p["q3"]] == pytest.approx(expected, rel=1e-12)
 
