@@ -40,7 +40,7 @@ def row_sample(df: DataFrame, n: int, key: list[str] | None = None) -> DataFrame
         text = f"concat({', '.join(f'CAST({quoted(k)} AS STRING)' for k in key)}, '{SEED}')"
         mark = f"md5({text})"
     else:
-        mark = f"md5(concat(hex({cells.row_digest(df.schema)}), '{SEED}'))"
+        mark = f"md5(concat({', '.join(map('hex({})'.format, cells.row_digest(df.schema)))}, '{SEED}'))"
     marked = df.selectExpr(*map(quoted, df.columns), f"{mark} AS `#mark`")
     per_prefix = (
         marked.groupBy(F.expr("substring(`#mark`, 1, 5) AS prefix"))

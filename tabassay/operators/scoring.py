@@ -130,9 +130,10 @@ def column_quality(profile: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame, segment_by: list[str] | tuple = ()) -> DataFrame:
     """(segment..., total_rows, duplicate_rows, duplicate_pct): repeats beyond the first."""
     keys = [quoted(s) for s in segment_by]
+    one, two = cells.row_digest(df.schema)
     copies = (
-        df.selectExpr(*keys, f"{cells.row_digest(df.schema)} AS digest")
-        .groupBy(*by(segment_by), "digest")
+        df.selectExpr(*keys, f"{one} AS digest1", f"{two} AS digest2")
+        .groupBy(*by(segment_by), "digest1", "digest2")
         .agg(F.expr("count(1) AS n"))
     )
     counted = copies.groupBy(*by(segment_by)).agg(

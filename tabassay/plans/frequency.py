@@ -63,16 +63,21 @@ class Frequencies:
         self.segment_by = segment_by
         self.keys = [quoted(s) for s in segment_by] + ["pos"]
         self.kinds: dict[str, list[str]] = {}
-        wide, entries = [quoted(s) for s in segment_by], []
+        # Segments travel as unpivoted values: as identifiers they would keep their column
+        # ids, and Spark would then not see that two readers of the table are alike.
+        kept = [f"`#s{i}`" for i in range(len(segment_by))]
+        wide = [f"{quoted(s)} AS {k}" for s, k in zip(segment_by, kept)]
+        entries = []
         for name in columns:
             dtype, pos = df.schema[name].dataType, self.pos[name]
             self.kinds.setdefault(kind_of(dtype), []).append(pos)
             slots = [f"`{pos}{slot}`" for slot in "wrt"]
             wide += [f"{e} AS {s}" for e, s in zip(_slots(quoted(name), dtype), slots)]
-            entries.append(f"({', '.join(slots)}) AS `{pos}`")
+            entries.append(f"({', '.join([*kept, *slots])}) AS `{pos}`")
+        outputs = [*map(quoted, segment_by), "w", "r", "t"]
+        unpivot = f"UNPIVOT INCLUDE NULLS (({', '.join(outputs)}) FOR pos IN ({', '.join(entries)}))"
         long = df.sparkSession.sql(
-            "SELECT * FROM {wide} UNPIVOT INCLUDE NULLS ((w, r, t) FOR pos IN ("
-            + ", ".join(entries).replace("{", "{{").replace("}", "}}") + "))",
+            "SELECT * FROM {wide} " + unpivot.replace("{", "{{").replace("}", "}}"),
             wide=df.selectExpr(*wide),
         )
         self.table = long.groupBy(*[F.expr(k) for k in self.keys], "w", "r", "t").agg(

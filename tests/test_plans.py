@@ -30,6 +30,12 @@ def test_a_profile_shuffles_the_values_once(lines):
     assert "WindowGroupLimit" in plan
 
 
+def test_a_segmented_profile_shuffles_the_values_once(lines):
+    few = lines.select("l_returnflag", "l_quantity", "l_linestatus")
+    plan = executed(ta.profile_table(few, segment_by=["l_returnflag"]))
+    assert len(re.findall(r"FileScan", plan)) == 1
+
+
 def test_a_profile_reads_only_its_columns(lines):
     plan = ta.profile_table(lines, ["l_quantity"])._jdf.queryExecution().executedPlan().toString()
     schemas = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
@@ -46,7 +52,7 @@ def test_row_wise_rules_share_one_scan(spark):
 
 def test_duplicates_shuffle_digests_not_rows(lines):
     plan = ta.duplicate_rows(lines)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(digest" in plan
+    assert "hashpartitioning(digest1" in plan
 
 
 @pytest.mark.parametrize("build", [
