@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import quoted
 from .keys import attach, by
 
 
@@ -42,12 +43,11 @@ def _cuts(numbers: DataFrame, segment_by: list[str], how: Slicing) -> DataFrame:
 
 def in_slices(numbers: DataFrame, segment_by: list[str], how: Slicing = DEFAULT) -> DataFrame:
     """(segment..., pos, num, ...) rows with ``slice``, the number of cuts up to the value."""
-    columns = [f"`{c}`" for c in numbers.columns]
+    columns = ", ".join(map(quoted, numbers.columns)).replace("{", "{{").replace("}", "}}")
     placed = attach(numbers, _cuts(numbers, segment_by, how), segment_by, "num", how="left")
-    placed = placed.selectExpr("*", "0 AS slice")
-    step = how.slices // 2
+    query, step = f"SELECT {columns}, cuts, 0 AS slice FROM {{placed}}", how.slices // 2
     while step:  # binary search, one bit of the answer at a time
         found = f"IF(num >= cuts[slice + {step - 1}], {step}, 0)"
-        placed = placed.selectExpr(*columns, "cuts", f"slice + {found} AS slice")
+        query = f"SELECT {columns}, cuts, slice + {found} AS slice FROM ({query})"
         step //= 2
-    return placed.drop("cuts")
+    return numbers.sparkSession.sql(f"SELECT {columns}, slice FROM ({query})", placed=placed)
