@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.llm.bpe import Encoder, Lexicon, Vocabulary, compiled, lowered
+from tabassay.llm.common import ship
 
 LETTERS = r"[^\p{L}]+"
 
@@ -57,6 +58,7 @@ def encoded(docs: DataFrame, vocabulary: str, lexicon_size: int = 65_536, text:
     ids; empty texts and white space likewise; repeated rows give repeated results; an empty table
     gives an empty result; other columns are ignored.
     """
+    ship(docs.sparkSession)
     name = shared_lexicon(docs, vocabulary, lexicon_size, text)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

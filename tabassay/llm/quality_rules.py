@@ -51,10 +51,10 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(let(windows, counted))
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`doc` (all columns of the input, packed) and the measures of its text; a null text has no words."""
+def measures(docs: DataFrame, text: str = "text", carried: Sequence[str] = ("*",)) -> DataFrame:
+    """`doc` (the carried columns of the input, packed) and the measures of its text; a null text has no words."""
     body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(F.struct("*").alias("doc"), body.alias("body"))
+    df = docs.select(F.struct(*carried).alias("doc"), body.alias("body"))
     bare = F.btrim("body", F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
     df = df.select("*", words.alias("words"))
@@ -71,6 +71,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             ),
         ).alias("lines"),
         _repeated_words(F.col("words")).alias("n_repeat_words"),
+        F.regexp_count("body", F.lit(r"[^\p{L}\p{N}\s]")).cast("long").alias("n_signs"),
         F.regexp_count("body", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count("body", F.lit(r"[.!?…](?=\s|$)")).cast("long").alias("n_ends"),
     )
@@ -90,10 +91,11 @@ def votes() -> dict[str, Column]:
         "long_enough": rule(F.col("n_words") >= 50, F.col("n_words") < 25),
         "word_length": rule(length.between(3, 9), ~length.between(2.2, 14)),
         "few_symbols": rule(share("n_symbols", "word_chars") < 0.002, share("n_symbols", "word_chars") > 0.015),
+        "few_signs": rule(share("n_signs", "word_chars") < 0.05, share("n_signs", "word_chars") > 0.075),
         "few_capitals": rule(share("n_upper", "word_chars") < 0.1, share("n_upper", "word_chars") > 0.25),
         "sentences": rule(ends.between(0.02, 0.25), (ends > 0.5) | (ends < 0.004)),
-        "new_lines": rule(F.col("n_dup_lines") == 0, share("n_dup_lines", "n_lines") > 0.2),
-        "new_words": rule(share("n_repeat_words", "n_words") < 0.05, share("n_repeat_words", "n_words") > 0.2),
+        "new_lines": rule(F.col("n_dup_lines") == 0, share("n_dup_lines", "n_lines") > 0.5),
+        "new_words": rule(share("n_repeat_words", "n_words") < 0.05, share("n_repeat_words", "n_words") > 0.3),
     }
 
 
@@ -134,7 +136,7 @@ def _weights(on_bad: Sequence[float], on_good: Sequence[float]) -> list[float]:
     return [min(0.0, bad), none, max(0.0, good)]
 
 
-def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5, carried: Sequence[str] = ("*",)) -> DataFrame:
     """`doc`, measures, votes, `good` (posterior probability), `base_failed` and `kept`.
 
     A null, empty or blank text has no words and fails the base rule. An empty table gives an empty
@@ -142,9 +144,9 @@ def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
     names cannot clash.
     """
     rules = votes()
-    voted = measures(docs, text).select("*", F.struct(*(v.alias(k) for k, v in rules.items())).alias("votes"))
+    voted = measures(docs, text, carried).select("*", F.struct(*(v.alias(k) for k, v in rules.items())).alias("votes"))
     voted = stored(voted, "votes")
-    # At most 3 ** 7 rows whatever the table's size.
+    # At most 3 ** 8 rows whatever the table's size.
     rows = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
     prior, adds = estimate({tuple(r["votes"]): r["n"] for r in rows})
     logit = F.lit(prior)

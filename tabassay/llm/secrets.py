@@ -12,6 +12,8 @@ do not raise the share of false reports.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,8 +135,8 @@ def _battery(token: Column) -> Column:
     return let(F.struct(body.alias("body"), letters.alias("letters"), hexes.alias("digits")), tests)
 
 
-def scanned(docs: DataFrame, text: str = "text", rate: float = 0.01) -> DataFrame:
-    """`doc` (all columns of the input, packed), `base` and `spans`: arrays of start, kind, end by start, then kind.
+def scanned(docs: DataFrame, text: str = "text", rate: float = 0.01, carried: Sequence[str] = ("*",)) -> DataFrame:
+    """`doc` (the carried columns of the input, packed), `base` and `spans`: arrays of start, kind, end by start, then kind.
 
     Offsets are code points, ends exclusive; `kind` is a place in KINDS. Random spans that
     overlap a base span are not reported twice. `rate` bounds the expected share of false reports
@@ -145,7 +147,7 @@ def scanned(docs: DataFrame, text: str = "text", rate: float = 0.01) -> DataFram
     base = F.concat(
         _spans(_matches(body, ASSIGN, 2), "assign", 8), _spans(_matches(body, ACCESS), "access"), _spans(_matches(body, HEX), "hex")
     )
-    df = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    df = docs.select(F.struct(*carried).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     df = df.select("doc", "body", F.sort_array(base).alias("base"), _matches(body, CANDIDATE).alias("runs"))
     free = F.filter(
         "runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])) & r["token"].rlike("[0-9A-Za-z]")
