@@ -11,12 +11,14 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import struct
 import unicodedata
 from array import array
-from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import filterfalse
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -25,7 +27,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
 WORDS = regex.compile(PATTERN)
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: str.split() also splits at these, the vocabulary does not.
-EXTRA = regex.compile(r"[\x1c-\x1f]")
+EXTRA = re.compile(r"[\x1c-\x1f]")
 #: Letters of scripts whose classes have long been settled. For others the library is asked, as tables of
 #: letters differ between editions of Unicode.
 SETTLED = regex.compile(r"[\x00-ͯЀ-ԯ‐-‧ぁ-ゖァ-ヺ一-龥]*")
@@ -44,6 +46,20 @@ def lowered(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+#: Longer words are merged one by one.
+SHORT = 32
+
+
+def by_length(words: Sequence[bytes], chosen: Sequence[int], most: int = 4096) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """The chosen words in tables of like length: their places, their bytes (padded with zeros) and their lengths."""
+    ordered = sorted(chosen, key=lambda i: len(words[i]))
+    for first in range(0, len(ordered), most):
+        rows = ordered[first : first + most]
+        width = len(words[rows[-1]])
+        letters = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width)
+        yield rows, letters, np.array([len(words[i]) for i in rows])
+
+
 class Vocabulary:
     """Ids, merges and the exact merging of one word."""
 
@@ -58,7 +74,14 @@ class Vocabulary:
         self.base = 1 << 20
         self.rank = {vocab[a] * self.base + vocab[b]: i for i, (a, b) in enumerate(pairs)}
         self.made = [vocab[a + b] for a, b in pairs]
+        keys = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.fromiter(self.rank.values(), np.int32, len(keys))[order], len(pairs)).astype(np.int32)
+        self.made_ids = np.array([*self.made, 0], np.int64)
         letters = byte_letters()
+        self.inner_ids = np.array([vocab[letters[b]] for b in range(256)])
+        self.last_ids = np.array([vocab[letters[b] + END_OF_WORD] for b in range(256)])
         self.byte = {letter: b for b, letter in letters.items()}
         self.inner = [vocab[letters[b]] for b in range(256)]
         self.last = [vocab[letters[b] + END_OF_WORD] for b in range(256)]
@@ -70,6 +93,10 @@ class Vocabulary:
 
     def words(self, piece: str) -> list[bytes]:
         """The words of a piece of text without white space, as bytes."""
+        core = piece.rstrip(".,;:!?")
+        if core.isalpha() and max(core) <= "\xff":  # letters, then perhaps a run of signs
+            word, rest = core.lower().encode(), piece[len(core) :]
+            return [word, rest.encode()] if rest else [word]
         if piece.isascii():
             return [w.encode() for w in WORDS.findall(piece.lower())]
         if SETTLED.fullmatch(piece):
@@ -119,13 +146,62 @@ class Vocabulary:
                 heapq.heappush(heap, (r, before[i]))
         return [x for x in ids if x >= 0]
 
+    def merged_many(self, words: Sequence[bytes]) -> list[bytes]:
+        """Ids of many words, as little-endian bytes: those of like length are merged side by side, one pair each a time."""
+        out = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        for i in range(len(words) if len(short) < len(words) else 0):
+            if len(words[i]) > SHORT:
+                out[i] = array("I", self.merged(words[i])).tobytes()
+        for rows, letters, sizes in by_length(words, short):
+            ids = np.where(np.arange(letters.shape[1]) == (sizes - 1)[:, None], self.last_ids[letters], self.inner_ids[letters])
+            for row, found in zip(rows, self._merged_table(ids, sizes)):
+                out[row] = found
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left * self.base + right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], len(self.made)).astype(np.int32)
+
+    def _merged_table(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        n, width = ids.shape
+        none, sizes = len(self.made), sizes.copy()
+        columns = np.arange(width)
+        ranks = np.full((n, width), none, np.int32)  # of each symbol with the next
+        ranks[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+        ranks[columns >= (sizes - 1)[:, None]] = none
+        todo = np.arange(n)
+        while len(todo):
+            at = ranks[todo].argmin(1)  # the first of equal ones
+            least = ranks[todo, at]
+            go = least < none
+            todo, at, least = todo[go], at[go], least[go]
+            if not len(todo):
+                break
+            ids[todo, at] = self.made_ids[least]
+            source = np.minimum(columns + (columns > at[:, None]), width - 1)
+            ids[todo] = np.take_along_axis(ids[todo], source, 1)
+            source = np.minimum(columns + (columns >= at[:, None]), width - 1)
+            ranks[todo] = np.take_along_axis(ranks[todo], source, 1)
+            sizes[todo] -= 1
+            ranks[todo, -1] = none
+            more = at > 0
+            ranks[todo[more], at[more] - 1] = self._ranks(ids[todo[more], at[more] - 1], ids[todo[more], at[more]])
+            more = at < sizes[todo] - 1
+            ranks[todo[more], at[more]] = self._ranks(ids[todo[more], at[more]], ids[todo[more], at[more] + 1])
+            last = at >= sizes[todo] - 1
+            ranks[todo[last], at[last]] = none
+        block, ends = ids.astype("<u4").tobytes(), (sizes * 4).tolist()
+        return [block[at : at + end] for at, end in zip(range(0, 4 * n * width, 4 * width), ends)]
+
     def decoded(self, ids: Iterable[int]) -> str:
         """The pieces of all ids, special ones included, joined by spaces: this vocabulary has no decoder."""
         return " ".join(map(self.pieces.__getitem__, ids))
 
 
-def compiled(words: dict[bytes, list[int]]) -> bytes:
-    """A minimal acyclic transducer from words to ids, as one flat block.
+def compiled(words: dict[bytes, bytes]) -> bytes:
+    """A minimal acyclic transducer from words to ids (little-endian bytes), as one flat block.
 
     Words are added in order; a state that can get no more arcs is replaced by an equal one if there
     is one, so equal suffixes are stored once. Each arc adds the number of words that sort before
@@ -158,84 +234,119 @@ def compiled(words: dict[bytes, list[int]]) -> bytes:
         last = word
     close(0)
     root = frozen(*path[0])
-    first, finals, labels, targets, adds = array("I"), bytearray(), bytearray(), array("I"), array("I")
-    for final, arcs, _ in states:
-        first.append(len(labels))
+    arcs_by_key, finals, targets, adds = array("I"), bytearray(), array("I"), array("I")
+    for state, (final, arcs, _) in enumerate(states):
         finals.append(final)
         below = int(final)
         for label, target in arcs:
-            labels.append(label)
+            arcs_by_key.append(state << 8 | label)
             targets.append(target)
             adds.append(below)
             below += states[target][2]
-    first.append(len(labels))
     starts, ids = array("I", [0]), array("I")
     for word in ordered:
-        ids.extend(words[word])
+        ids.frombytes(words[word])
         starts.append(len(ids))
-    parts = [first.tobytes(), targets.tobytes(), adds.tobytes(), starts.tobytes(), ids.tobytes(), bytes(finals), bytes(labels)]
-    return struct.pack("<8Q", root, *map(len, parts)) + b"".join(parts)
+    parts = [arcs_by_key.tobytes(), targets.tobytes(), adds.tobytes(), starts.tobytes(), ids.tobytes(), bytes(finals)]
+    return struct.pack("<7Q", root, *map(len, parts)) + b"".join(parts)
 
 
 class Lexicon:
-    """A compiled transducer in a file, mapped into memory."""
+    """A compiled transducer in a file, mapped into memory. An arc's key is its state and byte; keys are in order."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
-            block = memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-        self.root, *sizes = struct.unpack_from("<8Q", block)
-        parts, at = [], 64
-        for size, kind in zip(sizes, "IIIIIBB"):
-            parts.append(block[at : at + size].cast(kind))
+            block = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        self.root, *sizes = struct.unpack_from("<7Q", block)
+        parts, at = [], 56
+        for size, kind in zip(sizes, ("<u4",) * 5 + ("u1",)):
+            parts.append(np.frombuffer(block, kind, size // np.dtype(kind).itemsize, at))
             at += size
-        self.first, self.targets, self.adds, self.starts, self.ids, self.finals, self.labels = parts
-
-    def get(self, word: bytes) -> memoryview | None:
-        """The word's ids, or None if it is not in the lexicon."""
-        state, place, first, labels = self.root, 0, self.first, self.labels
-        for byte in word:
-            end = first[state + 1]
-            arc = bisect_left(labels, byte, first[state], end)
-            if arc == end or labels[arc] != byte:
-                return None
-            place += self.adds[arc]
-            state = self.targets[arc]
-        return self.ids[self.starts[place] : self.starts[place + 1]] if self.finals[state] else None
-
-
-class Encoder(dict):
-    """Texts to ids. As a dict: the ids (bytes, little-endian 32 bits) of the pieces between spaces seen last.
+        self.keys, self.targets, self.adds, self.starts, self.ids, self.finals = parts
+
+    def get_many(self, words: Sequence[bytes]) -> list[bytes | None]:
+        """Each word's ids as little-endian bytes, or None if the lexicon lacks it; words walk side by side."""
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.keys):
+            return out
+        for rows, letters, sizes in by_length(words, [i for i, w in enumerate(words) if w]):
+            state, place = np.full(len(rows), self.root, np.int64), np.zeros(len(rows), np.int64)
+            known = np.ones(len(rows), bool)
+            for column in range(letters.shape[1]):
+                key = state << 8 | letters[:, column]
+                arc = np.minimum(np.searchsorted(self.keys, key.astype(np.uint32)), len(self.keys) - 1)
+                going = sizes > column
+                known &= ~going | (self.keys[arc] == key)
+                going &= known
+                place += np.where(going, self.adds[arc], 0)
+                state = np.where(going, self.targets[arc], state)
+            known &= self.finals[state] > 0
+            for at in np.flatnonzero(known):
+                out[rows[at]] = self.ids[self.starts[place[at]] : self.starts[place[at] + 1]].tobytes()
+        return out
+
+
+class Encoder:
+    """Texts to ids. It remembers the ids of pieces between spaces, and forgets all when it holds more than `held`.
 
     Splitting, normalisation and merges never look across white space, so pieces are independent.
-    At most `held` pieces are remembered; then all are forgotten.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, held: int = 400_000):
-        super().__init__()
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, held: int = 800_000):
         self.vocabulary, self.lexicon, self.held = vocabulary, lexicon, held
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("I")
-        for letters in self.vocabulary.words(piece):
-            known = self.lexicon.get(letters) if self.lexicon else None
-            ids.extend(self.vocabulary.merged(letters) if known is None else known)
-        if len(self) >= self.held:
-            self.clear()
-        found = ids.tobytes()
-        if len(piece) < 100:
-            self[piece] = found
-        return found
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        words = {piece: self.vocabulary.words(piece) for piece in pieces}
+        distinct = list({word for several in words.values() for word in several})
+        found: list[bytes | None] = self.lexicon.get_many(distinct) if self.lexicon else [None] * len(distinct)
+        rare = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(rare, self.vocabulary.merged_many([distinct[i] for i in rare])):
+            found[i] = ids
+        ids_of = dict(zip(distinct, found))
+        self.known.update((piece, b"".join(map(ids_of.__getitem__, several))) for piece, several in words.items())
+
+    def _parts(self, text: str) -> list[str]:
+        """The text, cut at special strings: these have odd places."""
+        cut = self.vocabulary.cut
+        return cut.split(text) if cut and "<|" in text else [text]
+
+    def many(self, texts: Iterable[str], group: int = 4_000_000) -> Iterator[bytes]:
+        """Ids of each text, little-endian, four bytes each. Special strings in a text give their special ids.
+
+        Texts are taken in groups of about `group` characters; the new pieces of a group are looked up together.
+        """
+        waiting: list[str] = []
+        size = 0
+        for text in texts:
+            waiting.append(text)
+            size += len(text)
+            if size >= group:
+                yield from self._group(waiting)
+                waiting, size = [], 0
+        yield from self._group(waiting)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        split = [[_pieces(part) if i % 2 == 0 else part for i, part in enumerate(self._parts(text))] for text in texts]
+        new = self._new(split)
+        if len(self.known) + len(new) > self.held:
+            self.known.clear()
+            new = self._new(split)
+        self._learn(new)
+        get, special = self.known.__getitem__, self.vocabulary.special
+        for parts in split:
+            yield b"".join(special[p].to_bytes(4, "little") if i % 2 else b"".join(map(get, p)) for i, p in enumerate(parts))
+
+    def _new(self, split: list[list]) -> set[str]:
+        new: set[str] = set()
+        for parts in split:
+            for pieces in parts[::2]:
+                new.update(filterfalse(self.known.__contains__, pieces))
+        return new
 
     def ids(self, text: str) -> bytes:
-        """Ids of a text, little-endian, four bytes each. Special strings in it give their special ids."""
-        cut = self.vocabulary.cut
-        if cut and "<|" in text and cut.search(text):
-            special = self.vocabulary.special
-            return b"".join(
-                special[part].to_bytes(4, "little") if part in special else self._plain(part) for part in cut.split(text)
-            )
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        pieces = SPACE.split(text) if EXTRA.search(text) else text.split()
-        return b"".join(map(self.__getitem__, pieces))
+        return next(self.many([text]))
+
+
+def _pieces(text: str) -> list[str]:
+    return SPACE.split(text) if EXTRA.search(text) else text.split()

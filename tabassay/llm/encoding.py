@@ -38,11 +38,8 @@ def shared_lexicon(docs: DataFrame, vocabulary: str, size: int = 65_536, text: s
 
     `size` bounds what the driver holds and sends; it changes the speed, never the ids.
     """
-    words, known = Vocabulary(vocabulary), {}
-    for word in frequent_words(docs, size, text):
-        letters = lowered(word).encode()
-        known[letters] = words.merged(letters)
-    block = compiled(known)
+    words = [lowered(word).encode() for word in frequent_words(docs, size, text)]
+    block = compiled(dict(zip(words, Vocabulary(vocabulary).merged_many(words))))
     name = f"lexicon-{hashlib.sha256(block).hexdigest()[:16]}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="tabassay-"), name)
     with open(path, "wb") as file:
@@ -65,8 +62,7 @@ def encoded(docs: DataFrame, vocabulary: str, lexicon_size: int = 65_536, text:
         code = encoder(vocabulary, name)
         for batch in batches:
             counts, ids_digests, text_digests = [], [], []
-            for cell in batch.column(1):
-                ids = code.ids(cell.as_py() or "")
+            for ids in code.many(cell.as_py() or "" for cell in batch.column(1)):
                 counts.append(len(ids) // 4)
                 ids_digests.append(hashlib.sha256(ids).hexdigest())
                 numbers = np.frombuffer(ids, "<u4")

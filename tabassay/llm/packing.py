@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, vocabulary: str, window: int, text: str = "text") ->
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rest"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = code.ids(cell.as_py() or "") + END_ID
+            for doc, ids in zip(batch.column(0).to_pylist(), code.many(cell.as_py() or "" for cell in batch.column(1))):
+                ids += END_ID
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]
