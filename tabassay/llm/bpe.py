@@ -94,7 +94,7 @@ class Vocabulary:
     def words(self, piece: str) -> list[bytes]:
         """The words of a piece of text without white space, as bytes."""
         core = piece.rstrip(".,;:!?")
-        if core.isalpha() and max(core) <= "\xff":  # letters, then perhaps a run of signs
+        if core.isalpha() and (core.isascii() or max(core) <= "\xff"):  # letters, then perhaps a run of signs
             word, rest = core.lower().encode(), piece[len(core) :]
             return [word, rest.encode()] if rest else [word]
         if piece.isascii():
@@ -165,35 +165,37 @@ class Vocabulary:
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], len(self.made)).astype(np.int32)
 
     def _merged_table(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Symbols stay in their columns; a merged one leaves a hole, and links lead from symbol to symbol around holes."""
         n, width = ids.shape
-        none, sizes = len(self.made), sizes.copy()
-        columns = np.arange(width)
+        none, columns = len(self.made), np.arange(width)
         ranks = np.full((n, width), none, np.int32)  # of each symbol with the next
         ranks[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
         ranks[columns >= (sizes - 1)[:, None]] = none
-        todo = np.arange(n)
+        ids[columns >= sizes[:, None]] = -1
+        after, before = (np.tile(columns + d, (n, 1)).ravel() for d in (1, -1))
+        symbol, rank = ids.ravel(), ranks.ravel()
+        todo = np.flatnonzero(sizes > 1)
         while len(todo):
             at = ranks[todo].argmin(1)  # the first of equal ones
-            least = ranks[todo, at]
+            here = todo * width + at
+            least = rank[here]
             go = least < none
-            todo, at, least = todo[go], at[go], least[go]
-            if not len(todo):
-                break
-            ids[todo, at] = self.made_ids[least]
-            source = np.minimum(columns + (columns > at[:, None]), width - 1)
-            ids[todo] = np.take_along_axis(ids[todo], source, 1)
-            source = np.minimum(columns + (columns >= at[:, None]), width - 1)
-            ranks[todo] = np.take_along_axis(ranks[todo], source, 1)
-            sizes[todo] -= 1
-            ranks[todo, -1] = none
-            more = at > 0
-            ranks[todo[more], at[more] - 1] = self._ranks(ids[todo[more], at[more] - 1], ids[todo[more], at[more]])
-            more = at < sizes[todo] - 1
-            ranks[todo[more], at[more]] = self._ranks(ids[todo[more], at[more]], ids[todo[more], at[more] + 1])
-            last = at >= sizes[todo] - 1
-            ranks[todo[last], at[last]] = none
-        block, ends = ids.astype("<u4").tobytes(), (sizes * 4).tolist()
-        return [block[at : at + end] for at, end in zip(range(0, 4 * n * width, 4 * width), ends)]
+            todo, at, here, least = todo[go], at[go], here[go], least[go]
+            row, size = todo * width, sizes[todo]
+            gone = row + after[here]
+            symbol[here], symbol[gone], rank[gone] = self.made_ids[least], -1, none
+            follows = after[gone]
+            after[here], rank[here] = follows, none
+            more = follows < size
+            near = row[more] + follows[more]
+            before[near] = at[more]
+            rank[here[more]] = self._ranks(symbol[here[more]], symbol[near])
+            more = before[here] >= 0
+            near = row[more] + before[here[more]]
+            rank[near] = self._ranks(symbol[near], symbol[here[more]])
+        held = ids >= 0
+        block, ends = ids[held].astype("<u4").tobytes(), np.cumsum(held.sum(1) * 4).tolist()
+        return [block[start:end] for start, end in zip([0, *ends], ends)]
 
     def decoded(self, ids: Iterable[int]) -> str:
         """The pieces of all ids, special ones included, joined by spaces: this vocabulary has no decoder."""
@@ -297,14 +299,16 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
-        words = {piece: self.vocabulary.words(piece) for piece in pieces}
-        distinct = list({word for several in words.values() for word in several})
+        words = list(map(self.vocabulary.words, pieces))
+        distinct = list({word for several in words for word in several})
         found: list[bytes | None] = self.lexicon.get_many(distinct) if self.lexicon else [None] * len(distinct)
         rare = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(rare, self.vocabulary.merged_many([distinct[i] for i in rare])):
             found[i] = ids
         ids_of = dict(zip(distinct, found))
-        self.known.update((piece, b"".join(map(ids_of.__getitem__, several))) for piece, several in words.items())
+        known = self.known
+        for piece, several in zip(pieces, words):
+            known[piece] = ids_of[several[0]] if len(several) == 1 else b"".join(map(ids_of.__getitem__, several))
 
     def _parts(self, text: str) -> list[str]:
         """The text, cut at special strings: these have odd places."""
