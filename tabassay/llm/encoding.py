@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.llm.bpe import Encoder, Lexicon, Vocabulary, compiled, lowered
-from tabassay.llm.common import ship
+from tabassay.llm.common import ship, stored
 
 LETTERS = r"[^\p{L}]+"
 
@@ -27,20 +28,30 @@ def encoder(vocabulary: str, lexicon: str | None = None) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, limit: int, text: str = "text") -> list[str]:
-    """The `limit` most frequent runs of letters in lower case, counted over all whole texts; ties go to the smaller word."""
+    """At most `limit` of the most frequent runs of letters in lower case, counted over all whole texts.
+
+    Words are taken by classes of like counts, eight to a doubling: all classes that fit under the limit. So the
+    driver sees a count per class and `limit` words, and no task has to rank words.
+    """
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), LETTERS)).alias("word"))
-    counts = words.where("word != ''").groupBy("word").count()
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(limit).collect()]
+    counts = words.where("word != ''").groupBy("word").count().where("count > 1")
+    counts = stored(counts.select("word", F.floor(F.log2("count") * 8).cast("int").alias("class")), "words")
+    least, total = None, 0
+    for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        if (total := total + r["count"]) > limit:
+            break
+        least = r["class"]
+    return [] if least is None else sorted(r["word"] for r in counts.where(F.col("class") >= least).select("word").collect())
 
 
 def shared_lexicon(docs: DataFrame, vocabulary: str, size: int = 65_536, text: str = "text") -> str:
-    """Compile the `size` most frequent words and give the file to all executors, lost and new ones too; returns its name.
+    """Compile at most `size` of the most frequent words and give the file to all executors, lost and new ones too; returns its name.
 
     `size` bounds what the driver holds and sends; it changes the speed, never the ids.
     """
     words = [lowered(word).encode() for word in frequent_words(docs, size, text)]
     block = compiled(dict(zip(words, Vocabulary(vocabulary).merged_many(words))))
-    name = f"lexicon-{hashlib.sha256(block).hexdigest()[:16]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="tabassay-"), name)
     with open(path, "wb") as file:
         file.write(block)

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from tabassay.llm.common import ship, stored
 
 BUCKETS = 1 << 16
+#: N-grams that each bucket's ratio is taken to have as expected, besides those counted.
+DOUBT = 5.0
+#: Neutral n-grams that each text is taken to have besides its own: short texts tell little.
+FEW = 20
 #: Runs of letters and digits, or of other signs; bytes over 127 count as letters.
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\x00-\x20A-Za-z0-9\x80-\xff]+")
 
@@ -69,46 +73,43 @@ def log_ratios(docs: DataFrame, labelled: DataFrame, text: str = "text") -> np.n
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
         return np.zeros(BUCKETS)
-    # A bucket that the target lacks is as rare there as its share of half an n-gram per bucket allows.
-    share = (raw + 0.5) / (raw.sum() + BUCKETS / 2)
-    return np.log((target + 50 * share) / (target.sum() + 50)) - np.log(share) if target.sum() > 50 else np.zeros(BUCKETS)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + DOUBT) / (expected + DOUBT))  # rare buckets tell little
 
 
 def weighted(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "text") -> DataFrame:
-    """`doc` (all columns, packed), `weight` and `quality` (the label, of at most `sample` labelled documents).
+    """`doc` (all columns, packed), `weight` and `quality`: the label of labelled documents that the target model has not seen.
 
-    `sample` bounds the labelled documents used, chosen by a hash of their ids. A null text is empty; a text without tokens has
+    `sample` bounds the labelled documents used, chosen by a hash of their ids; by another hash every second one
+    trains the target model and the others tell where to cut. A null text is empty; a text without tokens has
     weight zero. Of several labels of a document the lowest holds.
     """
     ship(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    labelled = stored(labelled.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int")), "labelled")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(2)) == 0
+    labelled = stored(labelled.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int"), held.alias("held")), "labelled")
     narrow = docs.select("doc_id", F.col(text).alias("text"))
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(narrow, labelled))
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(narrow, labelled.where("NOT held").drop("held")))
 
     @F.pandas_udf("double")
     def weight(texts):
         import pandas as pd
 
         table = ratios.value
-        return pd.Series([table[b].mean() if len(b := buckets_of(t or b"")) else 0.0 for t in texts])
+        return pd.Series([table[b].sum() / (len(b) + FEW) for b in (buckets_of(t or b"") for t in texts)])
 
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_id"), F.col(text).cast("binary").alias("_text"))
-    rows = rows.join(F.broadcast(labelled.withColumnRenamed("doc_id", "_id")), "_id", "left")
+    rows = rows.join(F.broadcast(labelled.where("held").withColumnRenamed("doc_id", "_id")), "_id", "left")
     return rows.select("doc", weight("_text").alias("weight"), "quality")
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, keep: float = 0.995) -> float:
-    """The weight from which documents count as good: the most bad ones below it, with a share `keep` of good ones at or above it.
-
-    It lies midway between the good weight that must stay and the next bad one below.
-    """
-    if not len(good):
-        return -np.inf
-    least = np.quantile(good, 1 - keep)
+    """The weight from which documents count as good: midway between the weight that a share `keep` of good ones
+    reaches and the next bad one below. Without a bad one below there is nothing to reject."""
+    least = np.quantile(good, 1 - keep) if len(good) else -np.inf
     below = bad[bad < least]
-    return float((least + below.max()) / 2) if len(below) else float(min(least, good.min()))
+    return float((least + below.max()) / 2) if len(below) else -np.inf
 
 
 def threshold(rows: DataFrame, key: str, k: int) -> float:
@@ -141,7 +142,7 @@ def threshold(rows: DataFrame, key: str, k: int) -> float:
 def resampled(docs: DataFrame, labels: DataFrame, temperature: float = 0.002, seed: int = 17, text: str = "text") -> DataFrame:
     """`doc` (all columns, packed), `weight`, `key` and `kept`: whether the document is in the sample.
 
-    Rows whose keys tie with the k-th all stay, so repeated rows share a fate. Without labelled good documents all
+    Rows whose keys tie with the k-th all stay, so repeated rows share a fate. Without labelled good and bad documents all
     stay. An empty table gives an empty result.
     """
     rows = weighted(docs, labels, text=text)
@@ -149,7 +150,7 @@ def resampled(docs: DataFrame, labels: DataFrame, temperature: float = 0.002, se
     rows = stored(rows.withColumn("key", F.col("weight") / temperature - F.log(-F.log(chance))), "weights")
     seen = rows.where("quality IS NOT NULL").select("quality", "weight").limit(40_000).toPandas()  # labels bound it, but for repeated ids
     good, bad = (seen["weight"][seen["quality"] == q].to_numpy() for q in (1, 0))
-    k = rows.where(F.col("weight") >= best_cut(good, bad)).count() if len(good) else rows.count()
+    k = rows.where(F.col("weight") >= best_cut(good, bad)).count()
     return rows.select("doc", "weight", "key", (F.col("key") >= threshold(rows, "key", k)).alias("kept"))
 
 

@@ -69,7 +69,8 @@ class Features:
         ]
 
     def table(self, urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
-        return np.array([self(u or "", h, p) for u, h, p in zip(urls, hosts, paths)], float).reshape(len(urls), -1)
+        rows = [self(u or "", h, p) for u, h, p in zip(urls, hosts, paths)]
+        return np.array(rows, float) if rows else np.zeros((0, len(self("", "", ""))))
 
 
 class BoostedTrees:
