@@ -316,6 +316,8 @@ def one_per_group(docs: DataFrame, width: int = 5, text: str = "text") -> DataFr
     of = of.withColumn("root", F.coalesce("root", "id"))
     order = F.struct(F.col("first").isNull(), "first", "digest")
     kept = of.groupBy("root").agg(F.min_by(F.struct("first", "digest"), order).alias("kept")).select("kept.*")
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_id"), _digest(text).alias("_digest"))
-    rows = rows.join(kept, (F.col("_id").eqNullSafe(F.col("first"))) & (F.col("_digest") == F.col("digest")), "left_semi")
-    return rows.dropDuplicates(["_id", "_digest"]).select("doc.*")
+    # One key that is never null: the join and the removal of repeated rows then share one shuffle of the texts.
+    key = lambda doc_id, digest: F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("none")).cast("binary"))
+    kept = kept.select(key(F.col("first"), F.col("digest")).alias("key"))
+    rows = docs.select(F.struct("*").alias("doc"), key(F.col("doc_id"), _digest(text)).alias("key"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
