@@ -7,7 +7,6 @@ that ends in ``_by_segment`` profiles each segment of a table in one job.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -75,15 +74,11 @@ def drift_pair(spark, sf_dir):
 
 
 SOURCES = {"orders": orders, "survey": survey, "labels": labels, "clients": clients}
-_profiled: dict = {}
 
 
 def scored(spark, sf_dir, name="orders"):
-    """The scored profile of a view, kept for the queries that chart it (a few rows)."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _profiled:
-        _profiled[key] = ta.column_quality(ta.profile_table(SOURCES[name](spark, sf_dir))).persist()
-    return _profiled[key]
+    """The scored profile of a view."""
+    return ta.column_quality(ta.profile_table(SOURCES[name](spark, sf_dir)))
 
 
 def scores(spark, sf_dir, name="orders"):
@@ -93,9 +88,9 @@ def scores(spark, sf_dir, name="orders"):
 
 
 def shared_folder(spark) -> str:
-    """A new folder below the shared one the session names (a local one only if it names none)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.gettempdir()}/tabassay-{uuid.uuid4().hex}"
+    """A new folder below the shared one that the session names, else below its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/tabassay-{uuid.uuid4().hex}"
 
 
 ORDERS_SQL = views.in_duckdb(views.MESSY_ORDERS)
@@ -159,6 +154,41 @@ def _as_json_arrays(rows: DataFrame, path: str) -> None:
     rows.mapInArrow(wrap, "value string").write.text(path)
 
 
+@query(
+    "a1_scan_delimited_line_breaks",
+    f"SELECT {_normal_select(['conv_id', 'turn', 'role', 'text'])} FROM (SELECT conv_id, turn, role,"
+    " role || chr(10) || chr(34) || text || chr(34) || ', ' AS text FROM conversations)",
+)
+def _(spark, sf):
+    path = shared_folder(spark)
+    table(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "role", "concat(role, '\\n\"', text, '\", ') AS text"
+    ).write.options(header=True, escape='"', quoteAll=True).csv(path)
+    return ta.scan_delimited(spark, path)
+
+
+@query(
+    "a1_scan_delimited_mixed_folder",
+    "SELECT CAST(l_orderkey AS VARCHAR) AS orders, l_returnflag AS flag, CAST(l_linenumber AS VARCHAR) AS line FROM lineitem",
+)
+def _(spark, sf):
+    path = shared_folder(spark)
+    rows = table(spark, sf, "lineitem").selectExpr("l_orderkey AS orders", "l_returnflag AS flag", "l_linenumber AS line")
+    rows.where("line <= 2").write.options(header=True, sep=",").csv(path)
+    rows.where("line > 2").select("line", "orders", "flag").write.mode("append").options(header=True, sep=";").csv(path)
+    return ta.scan_delimited(spark, path)
+
+
+@query(
+    "a12_row_sample_null_keys",
+    "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY md5(coalesce(CAST(k AS VARCHAR), chr(0)) || '42')) AS n"
+    " FROM (SELECT event_id, user_id, CASE WHEN event_id = 7 THEN NULL ELSE event_id END AS k FROM events)) WHERE n <= 5000",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "events").selectExpr("event_id", "user_id", "nullif(event_id, 7) AS k")
+    return ta.row_sample(rows, 5000, ["k"]).select("event_id", "user_id")
+
+
 @query(
     "a3_scan_json_records",
     "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user,"

@@ -30,8 +30,8 @@ def columns_of_interest(scored: DataFrame, limit: int = 12) -> DataFrame:
 def evidence_samples(
     df: DataFrame, rules: list[Rule], order_by: list[str], max_rows: int = 5
 ) -> DataFrame:
-    """Sample rows of each failed rule."""
-    return sample_failures(df, rules, order_by, min(max_rows, 5))
+    """The first ``max_rows`` rows of each failed rule."""
+    return sample_failures(df, rules, order_by, max_rows)
 
 
 def evidence_completeness(df: DataFrame, top_n: int = 5) -> DataFrame:

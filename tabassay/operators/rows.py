@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -31,26 +31,42 @@ def row_sample(df: DataFrame, n: int, key: list[str] | None = None) -> DataFrame
     """Exactly n rows (all when there are fewer), the same rows on every run.
 
     Rows are taken in the order of a hash of ``key``, of the whole row when it is not
-    given.  A count per five leading hex digits (a million counts at most) tells how far
-    down that order the sample reaches, so only rows near the sample are sorted.
+    given; rows with equal keys by their content. A NULL in a key is a value like any other.
+    A count per five leading hex digits (a million counts at most) tells how far
+    down that order the sample reaches: rows of smaller digits are all taken where they are, and only
+    those that share the last digits are ordered.
     """
     if n < 1:
         raise ValueError("a sample has at least one row")
+    digest = f"concat({', '.join(map('hex({})'.format, cells.row_digest(df.schema)))}, '{SEED}')"
     if key:
-        text = f"concat({', '.join(f'CAST({quoted(k)} AS STRING)' for k in key)}, '{SEED}')"
-        mark = f"md5({text})"
+        parts = [f"coalesce(CAST({quoted(k)} AS STRING), '\\0')" for k in key]
+        if len(parts) > 1:  # lengths keep ('a', 'bc') apart from ('ab', 'c')
+            parts = [f"length({p}), ':', {p}" for p in parts]
+        mark = f"md5(concat({', '.join(parts)}, '{SEED}'))"
     else:
-        mark = f"md5(concat({', '.join(map('hex({})'.format, cells.row_digest(df.schema)))}, '{SEED}'))"
-    marked = df.selectExpr(*map(quoted, df.columns), f"{mark} AS `#mark`")
+        mark = f"md5({digest})"
+    marked = df.selectExpr(
+        *map(quoted, df.columns), f"{mark} AS `#mark`", f"{digest} AS `#digest`"
+    ).withColumn("#prefix", F.substring("#mark", 1, 5))
     per_prefix = (
-        marked.groupBy(F.expr("substring(`#mark`, 1, 5) AS prefix"))
+        marked.groupBy("#prefix")
         .agg(F.expr("count(1) AS n"))
-        .selectExpr("prefix", "sum(n) OVER (ORDER BY prefix) AS upto")
+        .selectExpr("`#prefix` AS prefix", "n", "sum(n) OVER (ORDER BY `#prefix`) AS upto")
+        .where(f"upto >= {n}")
+        .agg(F.expr("min_by(struct(prefix, upto - n AS before), prefix) AS last"))
     )
-    # NULL when the table has no more than n rows: then every row is near the sample
-    last = per_prefix.where(f"upto >= {n}").agg(F.min("prefix")).scalar()
-    near = F.substring("#mark", 1, 5) <= F.coalesce(last, F.lit("fffff"))
-    return marked.where(near).orderBy("#mark").limit(n).drop("#mark")
+    # NULL when the table has fewer than n rows: then every row is below the last prefix
+    last = per_prefix.scalar()
+    below = marked.where(F.coalesce(F.col("#prefix") < last["prefix"], F.lit(True)))
+    order = Window.orderBy("#mark", "#digest")
+    at = (
+        marked.where(F.col("#prefix") == last["prefix"])
+        .withColumn("#rank", F.row_number().over(order))
+        .where(F.col("#rank") <= n - last["before"])
+        .drop("#rank")
+    )
+    return below.unionByName(at).drop("#mark", "#digest", "#prefix")
 
 
 def column_series(

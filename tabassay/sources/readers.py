@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,13 +21,21 @@ DELIMITED, JSON, PARQUET = (".csv", ".tsv", ".txt"), (".json",), (".parquet",)
 
 
 def dedupe_names(names: list[str]) -> list[str]:
-    """Trimmed names; the n-th repeat of a name gets ``__n``."""
+    """Trimmed names; the n-th repeat of a name gets ``__n``, also if only the case differs.
+
+    Spark finds columns whatever their case, so ``ID`` beside ``id`` could not be addressed.
+    """
     seen: dict[str, int] = {}
-    out = []
+    out, used = [], set()
     for name in (n.strip() for n in names):
-        count = seen.get(name, 0)
-        seen[name] = count + 1
-        out.append(f"{name}__{count}" if count else name)
+        count = seen.get(name.lower(), 0)
+        new = f"{name}__{count}" if count else name
+        while new.lower() in used:
+            count += 1
+            new = f"{name}__{count}"
+        seen[name.lower()] = count + 1
+        used.add(new.lower())
+        out.append(new)
     return out
 
 
@@ -81,9 +92,13 @@ def _delimiter_counts(text: str) -> list[str]:
 def sniff_delimiter(spark: SparkSession, path: str) -> DataFrame:
     """(path, delimiter) per file: the most frequent one in the first 2,048 characters.
 
-    Only the first block of a file is read, and of it no more lines are kept than that
-    many characters can fill.
+    Lines of a file beyond those that its first 2,048 characters can fill are read but not kept.
     """
+    return _file_heads(spark, path).select("path", "delimiter")
+
+
+def _file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, delimiter, first line) per file."""
     size = fv.DELIMITER_SAMPLE
     lines = (
         spark.read.option("lineSep", "\n").text(path)
@@ -106,7 +121,9 @@ def sniff_delimiter(spark: SparkSession, path: str) -> DataFrame:
         f"struct({c} AS n, {-i} AS preference, {literal(d)} AS delimiter)"
         for i, (c, d) in enumerate(zip(_delimiter_counts("sample"), fv.DELIMITERS))
     )
-    return sample.selectExpr("path", f"array_max(array({counts})).delimiter AS delimiter")
+    return sample.selectExpr(
+        "path", f"array_max(array({counts})).delimiter AS delimiter", r"rtrim('\r', substring_index(sample, '\n', 1)) AS header"
+    )
 
 
 def _mangled(header: list[str | None]) -> list[str]:
@@ -127,26 +144,50 @@ def scan_delimited(
     path: str,
     sep: str | None = None,
     encoding: str = "UTF-8",
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A delimited file or folder with headers, as text.
 
-    ``sep`` is found from the data when it is not given (a ``.tsv`` has tabs).  Files stay
-    splittable unless ``multi_line`` allows line breaks inside quotes.
+    ``sep`` is found for each file when it is not given (a ``.tsv`` has tabs); files of one
+    delimiter and header line are read together, and those of others joined on by column name. With a given ``sep``
+    all files must have the header of the first. A row with more cells than its header is an error, one
+    with fewer is filled up. Quotes may hold line breaks, so a file is read by one task; with ``multi_line=False``
+    files stay splittable and must have none.
     """
-    if sep is None:
-        tabbed = path.lower().endswith(".tsv")
-        sep = "\t" if tabbed else sniff_delimiter(spark, path).orderBy("path").first()["delimiter"]
+    if sep is None and path.lower().endswith(".tsv"):
+        sep = "\t"
+    if sep is not None:
+        return normalize_table(_read_delimited(spark, [path], sep, encoding, multi_line))
+    alike: dict[tuple[str, str], list[str]] = {}
+    for head in _file_heads(spark, path).orderBy("path").toLocalIterator():
+        alike.setdefault((head["delimiter"], head["header"]), []).append(unquote(head["path"]))
+    if not alike:
+        raise ValueError("File has no rows or columns")
+    parts = [
+        dedupe_headers(_read_delimited(spark, files, d, encoding, multi_line)) for (d, _), files in alike.items()
+    ]
+    return normalize_table(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
+SURPLUS = "#surplus"
+
+
+def _read_delimited(
+    spark: SparkSession, paths: list[str], sep: str, encoding: str, multi_line: bool
+) -> DataFrame:
     options = {
         "sep": sep, "encoding": encoding, "escape": '"', "multiLine": multi_line,
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
     }
-    header = spark.read.options(**options, header=False).csv(path).first()
+    header = spark.read.options(**options, header=False).csv(paths).first()
     if header is None:
         raise ValueError("File has no rows or columns")
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    rows = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
-    return normalize_table(rows.toDF(*_mangled(list(header))))
+    names = [*(f"c{i}" for i in range(len(header))), SURPLUS]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(paths)
+    message = f"a row has more cells than the {len(header)} of its header"
+    whole = rows.where(f"IF(`{SURPLUS}` IS NULL, true, raise_error({literal(message)}))").drop(SURPLUS)
+    return whole.toDF(*_mangled(list(header)))
 
 
 # ---------------------------------------------------------------- JSON and Parquet

@@ -1,6 +1,7 @@
 """Chart aggregates, samples, previews."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabassay import (
     best_correlation_pair, box_plots, column_health, column_quality, column_series,
@@ -93,6 +94,16 @@ def test_row_sample_has_exactly_n_rows_and_repeats_itself(spark, n):
     assert sorted(ids) == sorted(r["id"] for r in row_sample(df.repartition(3), n, ["id"]).collect())
 
 
+def test_row_sample_keeps_null_keys_and_orders_only_the_last_prefix(spark):
+    df = spark.sql("SELECT IF(id % 2 = 0, NULL, id) AS k, id FROM range(4)")
+    assert df.count() == row_sample(df, 100, ["k"]).count() == row_sample(df, 4, ["k", "id"]).count() == 4
+    big = spark.range(300_000)
+    sample = row_sample(big, 200_000, ["id"])
+    assert sample.count() == sample.distinct().count() == 200_000
+    largest = sample.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 100_000  # no task holds the whole sample
+
+
 def test_row_sample_of_one_repeated_row(spark):
     same = spark.range(50).selectExpr("1 AS a")
     assert row_sample(same, 20).count() == 20

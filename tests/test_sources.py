@@ -47,6 +47,26 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert cells(scan_delimited(spark, str(path), sep=",", multi_line=True)) == [("x\ny", "1")]
 
 
+def test_a_surplus_cell_is_an_error_and_a_missing_one_is_not(spark, tmp_path):
+    (tmp_path / "short.csv").write_text("x,y\n1,2\n3\n")
+    assert cells(scan_delimited(spark, str(tmp_path / "short.csv")))[0] == ("1", "2")
+    (tmp_path / "long.csv").write_text("x,y\n1,2\n3,4,99\n")
+    with pytest.raises(Exception, match="more cells"):
+        scan_delimited(spark, str(tmp_path / "long.csv")).collect()
+
+
+def test_folder_of_several_delimiters_and_header_orders(spark, tmp_path):
+    for name, text in {"a.csv": "x,y\n1,2\n", "b.csv": "x;y\n5;6\n", "c d.csv": "y,x\n8,7\n"}.items():
+        (tmp_path / name).write_text(text)
+    assert cells(scan_delimited(spark, str(tmp_path)).select("x", "y")) == [("1", "2"), ("5", "6"), ("7", "8")]
+
+
+def test_names_that_differ_in_case(spark, tmp_path):
+    (tmp_path / "case.csv").write_text("ID,id,Id__1\n1,2,3\n")
+    df = scan_delimited(spark, str(tmp_path / "case.csv"))
+    assert df.columns == ["ID", "id__1", "Id__1__1"] and cells(df) == [("1", "2", "3")]
+
+
 def test_sniff(spark, tmp_path):
     texts = {"tie.txt": "a,b;c\n", "none.txt": "abc\n", "bar.txt": "a|b|c\n1|2|3\n",
              "late.txt": "a;b\n" * 600 + "|" * 9000 + "\n"}
