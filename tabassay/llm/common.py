@@ -60,6 +60,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda x: use(x))[0]
 
 
+def bounded_sample(df: DataFrame, limit: int) -> DataFrame:
+    """All rows if there are at most `limit`, else about nine tenths of `limit` at random, never more than `limit`."""
+    n = df.count()
+    return df if n <= limit else df.sample(0.9 * limit / n, seed=17).limit(limit)
+
+
 def numbered(df: DataFrame, keys: list[str], to: str) -> DataFrame:
     """Add `to`: 0, 1, 2 ... without gaps within each key, in no stated order.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.llm.common import ship, stored
+from tabassay.llm.common import bounded_sample, ship, stored
 
 BUCKETS = 1 << 16
 #: N-grams that each bucket's ratio is taken to have as expected, besides those counted.
@@ -80,13 +80,13 @@ def log_ratios(docs: DataFrame, labelled: DataFrame, text: str = "text") -> np.n
 def weighted(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "text") -> DataFrame:
     """`doc` (all columns, packed), `weight` and `quality`: the label of labelled documents that the target model has not seen.
 
-    `sample` bounds the labelled documents used, chosen by a hash of their ids; by another hash every second one
+    `sample` bounds the labelled documents used, chosen at random; by a hash of its id every second one
     trains the target model and the others tell where to cut. A null text is empty; a text without tokens has
     weight zero. Of several labels of a document the lowest holds.
     """
     ship(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    labelled = bounded_sample(known, sample)
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(2)) == 0
     labelled = stored(labelled.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int"), held.alias("held")), "labelled")
     narrow = docs.select("doc_id", F.col(text).alias("text"))

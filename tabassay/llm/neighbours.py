@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabassay.llm.common import ship, stored
+from tabassay.llm.common import bounded_sample, ship, stored
 
 PART = 8  # bits of a substring
 
@@ -111,7 +111,7 @@ def nearest(
     sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
     width, total = (sizes["size"], sizes["count"]) if sizes else (1, 0)
     rows = rows.where(F.size("embedding") == width)
-    fit = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
+    fit = bounded_sample(rows.select("embedding"), sample).toPandas()["embedding"]
     fitted = np.stack(fit.to_list()) if len(fit) else np.ones((1, width))
     codes = Codes(fitted)
     held = spark.sparkContext.broadcast((codes, codes.radius(fitted, k, recall)))

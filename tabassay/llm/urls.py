@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.llm.common import ship
+from tabassay.llm.common import bounded_sample, ship
 
 Rule = tuple[str, str]  # verdict, host and path such as `example.net/en/`
 RULES: list[Rule] = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -143,14 +143,14 @@ def trained(labelled: pd.DataFrame) -> tuple[Features, BoostedTrees]:
 def filtered(pages: DataFrame, rules: Sequence[Rule] = RULES, sample: int = 20_000) -> DataFrame:
     """page_id, host, path, rule, verdict and score (log odds of a block, of the trees) for every row.
 
-    The trees are trained on at most `sample` URLs that a rule fits, chosen by a hash. A null URL, or one without `://`, has an
+    The trees are trained on at most `sample` URLs that a rule fits, chosen at random. A null URL, or one without `://`, has an
     empty host and path and is judged by the trees like any other. If no rule fits any URL, the trees allow. Repeated rows are judged
     alike; an empty table gives an empty result; other columns are ignored.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("bigint"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).select("page_id", "url", "host", "path", "found.*")
-    labelled = rows.where("rule IS NOT NULL").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).toPandas()
+    labelled = bounded_sample(rows.where("rule IS NOT NULL"), sample).toPandas()
     model = pages.sparkSession.sparkContext.broadcast(trained(labelled))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
