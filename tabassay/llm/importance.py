@@ -10,7 +10,7 @@ weight reaches the cut that separates labelled good from labelled bad documents
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +77,10 @@ def log_ratios(docs: DataFrame, labelled: DataFrame, text: str = "text") -> np.n
     return np.log((target + DOUBT) / (expected + DOUBT))  # rare buckets tell little
 
 
-def weighted(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "text") -> DataFrame:
-    """`doc` (all columns, packed), `weight` and `quality`: the label of labelled documents that the target model has not seen.
+def weighted(
+    docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "text", carried: Sequence[str] = ("*",)
+) -> DataFrame:
+    """`doc` (the carried columns, packed), `weight` and `quality`: the label of labelled documents that the target model has not seen.
 
     `sample` bounds the labelled documents used, chosen at random; by a hash of its id every second one
     trains the target model and the others tell where to cut. A null text is empty; a text without tokens has
@@ -99,7 +101,7 @@ def weighted(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str
         table = ratios.value
         return pd.Series([table[b].sum() / (len(b) + FEW) for b in (buckets_of(t or b"") for t in texts)])
 
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_id"), F.col(text).cast("binary").alias("_text"))
+    rows = docs.select(F.struct(*carried).alias("doc"), F.col("doc_id").alias("_id"), F.col(text).cast("binary").alias("_text"))
     rows = rows.join(F.broadcast(labelled.where("held").withColumnRenamed("doc_id", "_id")), "_id", "left")
     return rows.select("doc", weight("_text").alias("weight"), "quality")
 
@@ -139,13 +141,15 @@ def threshold(rows: DataFrame, key: str, k: int) -> float:
             return keys[k - above - 1]
 
 
-def resampled(docs: DataFrame, labels: DataFrame, temperature: float = 0.002, seed: int = 17, text: str = "text") -> DataFrame:
-    """`doc` (all columns, packed), `weight`, `key` and `kept`: whether the document is in the sample.
+def resampled(
+    docs: DataFrame, labels: DataFrame, temperature: float = 0.002, seed: int = 17, text: str = "text", carried: Sequence[str] = ("*",)
+) -> DataFrame:
+    """`doc` (the carried columns with doc_id, packed), `weight`, `key` and `kept`: whether the document is in the sample.
 
     Rows whose keys tie with the k-th all stay, so repeated rows share a fate. Without labelled good and bad documents all
     stay. An empty table gives an empty result.
     """
-    rows = weighted(docs, labels, text=text)
+    rows = weighted(docs, labels, text=text, carried=carried)
     chance = (F.shiftrightunsigned(F.xxhash64("doc.doc_id", "weight", F.lit(seed)), 12) + 0.5) / float(1 << 52)
     rows = stored(rows.withColumn("key", F.col("weight") / temperature - F.log(-F.log(chance))), "weights")
     seen = rows.where("quality IS NOT NULL").select("quality", "weight").limit(40_000).toPandas()  # labels bound it, but for repeated ids

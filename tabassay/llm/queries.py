@@ -37,7 +37,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    found = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carried=["doc_id"])
     return found.select(F.col("doc.doc_id").alias("doc_id"), "weight", "key", "kept")
 
 
