@@ -151,3 +151,25 @@ SECTOR_PROFILES = {
         "hints": {"label": ["label", "target", "y", "class"]},
     },
 }
+
+# Contract rules - id, name, severity, kind, the roles whose columns it is
+# about, and its parameter.  The first holds for every table; a sector's rules apply where
+# all their roles are filled.
+EVERY_TABLE = [("no_duplicate_rows", "No duplicate rows", "warning", "no_duplicate_rows", [], None)]
+SECTOR_RULES = {
+    "retail": [
+        ("unique_transaction", "Unique ({})", "critical", "unique", ["store_id", "date", "sku"], None),
+        ("sales_non_negative", "{} ≥ 0", "critical", "min_value", ["sales"], 0),
+    ],
+    "financial": [
+        ("email_format", "Valid email format ({})", "warning", "regex", ["email"], EMAIL_PATTERN),
+    ],
+    "ml_training": [
+        ("label_present", "Label column present ({})", "critical", "not_null", ["label"], None),
+    ],
+    "survey": [
+        ("unique_respondent", "Unique respondent ({})", "warning", "unique", ["respondent_id"], None),
+        ("high_item_missingness", "Rows with more than 2 empty items", "warning",
+         "max_empty_cells_per_row", [], 2),
+    ],
+}

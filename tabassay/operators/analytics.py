@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..functions.cells import literal, quoted
+from ..functions.cells import listed, literal, quoted
 from ..plans.frequency import TEXT, kind_of, positions
 from ..plans.keys import by, side_by_side
 from .contracts import empty_cells
@@ -57,46 +57,81 @@ def numeric_candidates(df: DataFrame, columns: list[str] | None = None) -> list[
     ]
 
 
+MOMENTS = ["n", "odd", "x", "y", "xx", "yy", "xy"]
+
+
+def _pair_moments(k: int):
+    """The Arrow function that adds up, over a task's rows, the moments of all pairs of k numbers.
+
+    Each batch gives them as products of its matrices of values and of masks; a task puts out
+    k * (k + 1) / 2 rows however many rows it read.  ``odd`` counts rows with an infinite number.
+    """
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(0).flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, k)
+            x = np.nan_to_num(flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, k), nan=np.inf, posinf=np.inf, neginf=np.inf)
+            odd = (there & np.isinf(x)).astype(float)
+            x, there = np.where(np.isinf(x), 0.0, x), there.astype(float)
+            sums, squares = x.T @ there, (x * x).T @ there
+            infinite = odd.T @ there
+            found = np.stack([there.T @ there, infinite + infinite.T, sums, sums.T, squares, squares.T, x.T @ x])
+            total = found if total is None else total + found
+        if total is not None:
+            i, j = np.triu_indices(k)
+            moments = [pa.array(m[i, j]) for m in total]
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *moments], ["a", "b", *MOMENTS])
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(i, j, x_col, y_col, r): Pearson over rows where both are numbers, 0 if undefined.
 
-    Every column with more than ten numbers takes part.  A row fans out into its pairs and
-    collapses again in the same task: only the moments of each pair are shuffled.
+    Every column with more than ten numbers takes part.  One scan counts and averages the
+    columns; a second one adds up the moments of all pairs around these averages, in matrix
+    products per Arrow batch, so a task shuffles one row per pair.  A spread below a millionth
+    of a pair's distance from the average is taken for rounding, that is for none.
     """
     names = numeric_candidates(df, columns)
     if not names:
         schema = "i int, j int, x_col string, y_col string, r double"
         return df.sparkSession.createDataFrame([], schema)
-    pos = positions(df)
-    pairs = [(a, a) for a in names] + list(combinations(names, 2))
-    wide = df.selectExpr(*[
-        f"{cells.as_number(quoted(c), df.schema[c].dataType)} AS `{pos[c]}`" for c in names
-    ])
-    fan = ", ".join(f"(`{pos[a]}`, `{pos[b]}`) AS `{pos[a]}{pos[b]}`" for a, b in pairs)
-    moments = (
-        df.sparkSession.sql(f"SELECT * FROM {{wide}} UNPIVOT ((x, y) FOR pair IN ({fan}))", wide=wide)
-        .where("x IS NOT NULL AND y IS NOT NULL")
-        .groupBy("pair")
-        .agg(F.expr(
-            "struct(count(1) AS n,"
-            " try_divide(covar_samp(x, y), stddev_samp(x) * stddev_samp(y)) AS r) AS found"
-        ))
-        .agg(F.expr("map_from_entries(collect_list(struct(pair, found))) AS of"))
-    )
-    rows = []
-    for a, b in pairs:
-        enough = " AND ".join(
-            f"try_element_at(of, '{pos[c]}{pos[c]}').n > {MIN_NUMBERS}" for c in (a, b)
+    numbers = [cells.as_number(quoted(c), df.schema[c].dataType) for c in names]
+    wide = df.selectExpr(f"array({', '.join(numbers)}) AS x")
+    one_by_one = df.selectExpr(*[f"{number} AS c{i}" for i, number in enumerate(numbers)])
+    finite = "abs(c{i}) < double('inf')"
+    means = ", ".join(f"avg(c{i}) FILTER (WHERE {finite.format(i=i)})" for i in range(len(names)))
+    counts = ", ".join(f"count(c{i})" for i in range(len(names)))
+    known = one_by_one.agg(F.expr(f"array({means}) AS means"), F.expr(f"array({counts}) AS counts"))
+    known = known.select(F.struct("means", "counts")).scalar()
+    centred = wide.withColumn("known", known).selectExpr("zip_with(x, known.means, (v, m) -> v - m) AS x")
+    sums = (
+        centred.mapInArrow(_pair_moments(len(names)), "a int, b int, " + ", ".join(f"{m} double" for m in MOMENTS))
+        .groupBy("a", "b")
+        .agg(*[F.sum(m).alias(m) for m in MOMENTS])
+        .withColumn("counts", known.getField("counts"))
+        # a single eligible column makes no matrix
+        .where(
+            f"counts[a] > {MIN_NUMBERS} AND counts[b] > {MIN_NUMBERS}"
+            f" AND size(filter(counts, n -> n > {MIN_NUMBERS})) > 1"
         )
-        r = f"coalesce(nanvl(try_element_at(of, '{pos[a]}{pos[b]}').r, NULL), 0D)"
-        for x, y in dict.fromkeys([(a, b), (b, a)]):
-            rows.append(
-                f"IF({enough}, named_struct('i', {df.columns.index(x)}, 'j', {df.columns.index(y)},"
-                f" 'x_col', {literal(x)}, 'y_col', {literal(y)}, 'r', {r}), NULL)"
-            )
-    matrix = moments.selectExpr(f"array_compact(array({', '.join(rows)})) AS cells")
-    # a single eligible column makes no matrix
-    return matrix.where("size(cells) > 1").selectExpr("inline(cells)")
+    )
+    spread = {z: f"IF({z}{z} - {z} * {z} / n > 1e-12 * {z}{z}, {z}{z} - {z} * {z} / n, NULL)" for z in "xy"}
+    r = f"try_divide(xy - x * y / n, sqrt({spread['x']}) * sqrt({spread['y']}))"
+    r = f"IF(odd = 0 AND n > 1, nanvl({r}, NULL), NULL)"
+    at = f"array({', '.join(str(df.columns.index(c)) for c in names)})"
+    name = f"array({listed(names)})"
+    return sums.selectExpr(
+        "explode(IF(a = b, array(struct(a, b)), array(struct(a, b), struct(b AS a, a AS b)))) AS p", f"{r} AS q"
+    ).selectExpr(
+        f"{at}[p.a] AS i", f"{at}[p.b] AS j", f"{name}[p.a] AS x_col", f"{name}[p.b] AS y_col",
+        "coalesce(IF(abs(q) > 1, signum(q), q), 0D) AS r",
+    )
 
 
 def best_correlation_pair(matrix: DataFrame) -> DataFrame:

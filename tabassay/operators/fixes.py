@@ -9,11 +9,11 @@ from pyspark.sql import types as T
 from ..functions import cells
 from ..functions import fixed_values as fv
 from ..functions.cells import quoted
-from ..plans.quantiles import column_quantiles
+from ..plans.frequency import Frequencies
+from ..plans.quantiles import exact_quantiles
 
 
-def _set(df: DataFrame, column: str, value) -> DataFrame:
-    return df.withColumns({column: value})
+IMPUTES = ("impute_median", "impute_mode")
 
 
 def fix_drop_nulls(df: DataFrame, column: str) -> DataFrame:
@@ -22,42 +22,81 @@ def fix_drop_nulls(df: DataFrame, column: str) -> DataFrame:
     return df.where(f"{c} IS NOT NULL")
 
 
+def _medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row, a column per column: the median of its numbers, from one frequency table."""
+    numbers = df.selectExpr(*[
+        f"{cells.as_number(quoted(c), df.schema[c].dataType)} AS {quoted(c)}" for c in columns
+    ])
+    frequencies = Frequencies(numbers, columns, [])
+    found = exact_quantiles(frequencies.numbers(), [0.5], [])
+    return found.agg(*[
+        F.expr(f"max(quantiles[0]) FILTER (WHERE pos = '{frequencies.pos[c]}') AS {quoted(c)}")
+        for c in columns
+    ])
+
+
+def _modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row, a column per column: the smallest of its most frequent values, kept in its type.
+
+    A row becomes one row per column, copies collapse before the shuffle.
+    """
+    own = {c: cells.present(quoted(c), df.schema[c].dataType) for c in columns}
+    entries = ", ".join(
+        "struct(" + ", ".join([f"{i} AS `#i`"] + [
+            f"{own[c] if c == wanted else f'CAST(NULL AS {df.schema[c].dataType.simpleString()})'} AS {quoted(c)}"
+            for c in columns
+        ]) + ")"
+        for i, wanted in enumerate(columns)
+    )
+    filled = " OR ".join(f"{quoted(c)} IS NOT NULL" for c in columns)
+    counted = (
+        df.selectExpr(f"inline(array({entries}))").where(filled)
+        .groupBy("`#i`", *map(quoted, columns)).agg(F.expr("count(1) AS `#n`"))
+    )
+    return counted.agg(*[
+        F.expr(f"min_by({quoted(c)}, struct(-`#n`, {quoted(c)})) FILTER (WHERE `#i` = {i}) AS {quoted(c)}")
+        for i, c in enumerate(columns)
+    ])
+
+
+def _imputed(df: DataFrame, source: DataFrame, fixes: dict[str, str]) -> DataFrame:
+    """``df`` with the missing cells of the columns filled by what ``source`` says of them.
+
+    The medians are one plan and the modes another, whatever the number of columns.
+    """
+    for kind, of in (("impute_median", _medians), ("impute_mode", _modes)):
+        columns = [c for c, fix in fixes.items() if fix == kind]
+        if not columns:
+            continue
+        filled = {}
+        for column in columns:
+            dtype = df.schema[column].dataType
+            choices = [
+                F.expr(cells.present(quoted(column), dtype)), F.col(f"`#fill`.{quoted(column)}").cast(dtype)
+            ]
+            if isinstance(dtype, T.StringType):
+                choices.append(F.lit(""))
+            filled[column] = F.coalesce(*choices)
+        row = of(source, columns).select(F.struct(*map(quoted, columns)).alias("#fill"))
+        df = df.withColumn("#fill", row.scalar()).withColumns(filled).drop("#fill")
+    return df
+
+
 def fix_impute_median(df: DataFrame, column: str) -> DataFrame:
     """Missing cells get the median of the numbers: as text in a text column
     (blank when there is none), as a number in a typed one, which keeps its type."""
-    dtype = df.schema[column].dataType
-    number = cells.as_number(quoted(column), dtype)
-    median = column_quantiles(df, number, [0.5]).agg(F.expr("max(quantiles[0])")).scalar()
-    own = F.expr(cells.present(quoted(column), dtype))
-    if isinstance(dtype, T.StringType):
-        return _set(df, column, F.coalesce(own, median.cast("string"), F.lit("")))
-    return _set(df, column, F.coalesce(own, median.cast(dtype)))
+    return _imputed(df, df, {column: "impute_median"})
 
 
 def fix_impute_mode(df: DataFrame, column: str) -> DataFrame:
     """Missing cells get the smallest of the most frequent values (blank text if none)."""
-    dtype = df.schema[column].dataType
-    own = cells.present(quoted(column), dtype)
-    mode = (
-        df.selectExpr(f"{own} AS value")
-        .where("value IS NOT NULL")
-        .groupBy("value")
-        .agg(F.expr("count(1) AS n"))
-        .orderBy(F.desc("n"), "value")
-        .limit(1)
-        .select("value")
-        .scalar()
-    )
-    choices = [F.expr(own), mode]
-    if isinstance(dtype, T.StringType):
-        choices.append(F.lit(""))
-    return _set(df, column, F.coalesce(*choices))
+    return _imputed(df, df, {column: "impute_mode"})
 
 
 def fix_strip_whitespace(df: DataFrame, column: str) -> DataFrame:
     """Trimmed cells; a missing cell stays missing."""
     text = cells.as_text(quoted(column), df.schema[column].dataType)
-    return _set(df, column, F.expr(cells.strip(text)))
+    return df.withColumns({column: F.expr(cells.strip(text))})
 
 
 def fix_dedupe(df: DataFrame) -> DataFrame:
@@ -65,16 +104,12 @@ def fix_dedupe(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-FIXES = {
-    "drop_nulls": fix_drop_nulls,
-    "impute_median": fix_impute_median,
-    "impute_mode": fix_impute_mode,
-    "strip_whitespace": fix_strip_whitespace,
-}
-
-
 def apply_fixes(df: DataFrame, fixes: dict[str, str]) -> DataFrame:
-    """Repairs by column, in the given order; ``dedupe`` anywhere comes first."""
+    """Repairs by column, in the given order; ``dedupe`` anywhere comes first.
+
+    Each column has one repair, so what is imputed depends on the rows dropped before and on
+    no other repair: the imputes between two drops share their plans.
+    """
     if not fixes:
         raise ValueError("No fixes specified")
     unknown = sorted(set(fixes.values()) - set(fv.FIX_TYPES))
@@ -85,10 +120,16 @@ def apply_fixes(df: DataFrame, fixes: dict[str, str]) -> DataFrame:
         raise ValueError(f"Unknown column(s): {', '.join(absent)}")
     if "dedupe" in fixes.values():
         df = fix_dedupe(df)
+    source, waiting = df, {}  # source: the rows that are left, their cells as they were
     for column, fix in fixes.items():
-        if fix != "dedupe":
-            df = FIXES[fix](df, column)
-    return df
+        if fix in IMPUTES:
+            waiting[column] = fix
+        elif fix == "strip_whitespace":
+            df = fix_strip_whitespace(df, column)
+        elif fix == "drop_nulls":
+            df, waiting = _imputed(df, source, waiting), {}
+            df, source = fix_drop_nulls(df, column), fix_drop_nulls(source, column)
+    return _imputed(df, source, waiting)
 
 
 def suggest_fixes(profile: DataFrame) -> DataFrame:

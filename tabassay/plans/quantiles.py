@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import quoted
-from .frequency import Frequencies
 from .keys import attach
 from .slices import DEFAULT, Slicing, in_slices
 
@@ -65,11 +64,3 @@ def exact_quantiles(
         for i, p in enumerate(probs)
     )
     return found.selectExpr(*keys, f"array({values}) AS quantiles")
-
-
-def column_quantiles(
-    df: DataFrame, number: str, probs: list[float], how: Slicing = DEFAULT
-) -> DataFrame:
-    """One row (quantiles) for one numeric expression; no row when it has no number."""
-    frequencies = Frequencies(df.selectExpr(f"{number} AS num"), ["num"], [])
-    return exact_quantiles(frequencies.numbers(), probs, [], how).select("quantiles")

@@ -56,6 +56,15 @@ def test_apply_in_order(rows):
     assert column(fixed, "s") == [" a ", " a ", "b"]
 
 
+def test_imputes_see_the_rows_left_by_earlier_drops(spark):
+    data = [("a", 1.0, 5, None), ("b", None, 5, "x"), (None, 9.0, 7, "x"), ("b", 3.0, None, "y"), ("a", 100.0, 7, "y")]
+    df = spark.createDataFrame(data, "m string, d double, i int, k string")
+    fixed = apply_fixes(df, {"m": "impute_mode", "k": "drop_nulls", "d": "impute_median", "i": "impute_mode"})
+    # m: a and b twice each before the drop; d: 9, 3, 100 after it; i: 7 twice after it
+    assert sorted(fixed.collect()) == [("a", 9.0, 7, "x"), ("a", 100.0, 7, "y"), ("b", 3.0, 7, "y"), ("b", 9.0, 5, "x")]
+    assert fixed.dtypes == df.dtypes
+
+
 def test_apply_refuses_the_unknown(rows):
     with pytest.raises(ValueError, match="Unknown fix type"):
         apply_fixes(rows, {"t": "cap_outliers"})

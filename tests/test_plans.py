@@ -1,6 +1,7 @@
 """What the plans of the main operators must look like."""
 
 import re
+import time
 
 import pytest
 
@@ -44,7 +45,7 @@ def test_a_profile_reads_only_its_columns(lines):
 
 def test_row_wise_rules_share_one_scan(spark):
     df = views.in_spark(spark, SF_DIR, views.MESSY_SURVEY)
-    rules = [r for r in ta.build_rules(df.columns, "survey", df.columns) if r.rule_type not in
+    rules = [r for r in ta.build_rules(df.columns, "survey", df.columns) if r.kind not in
              ("unique", "no_duplicate_rows")]
     plan = ta.evaluate_rules(df, rules)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("FileScan", plan)) == 1
@@ -55,8 +56,35 @@ def test_duplicates_shuffle_digests_not_rows(lines):
     assert "hashpartitioning(digest1" in plan
 
 
+def test_correlation_shuffles_pairs_and_answers_for_many_columns(spark, lines):
+    plan = ta.correlation_matrix(lines)._jdf.queryExecution().toString()
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|EvalPython|Expand", plan)
+    wide = spark.range(50).selectExpr(*[f"id * {i} + pmod(id * id, {i + 2}) AS c{i}" for i in range(200)])
+    begin = time.monotonic()
+    assert ta.correlation_matrix(wide).count() == 200 * 200
+    assert time.monotonic() - begin < 60
+
+
+def test_many_imputes_are_planned_in_seconds(spark):
+    rows = spark.range(20).selectExpr(*[f"IF(id = {i}, NULL, id * {i} + 1) AS c{i}" for i in range(20)])
+    fixes = {f"c{i}": ("impute_median", "impute_mode", "drop_nulls")[i % 3 if i == 11 else i % 2] for i in range(20)}
+    begin = time.monotonic()
+    ta.apply_fixes(rows, fixes)._jdf.queryExecution().executedPlan()
+    assert time.monotonic() - begin < 10
+
+
+def test_samples_of_row_rules_share_one_scan(spark):
+    df = views.in_spark(spark, SF_DIR, views.MESSY_SURVEY)
+    rules = ta.build_rules(df.columns, "survey", df.columns)
+    of_rows = [r for r in rules if r.kind not in ("unique", "no_duplicate_rows")]
+    assert len(of_rows) > 3
+    scans = [len(re.findall("FileScan", ta.sample_failures(df, r, ["respondent_id"])._jdf.queryExecution()
+                            .executedPlan().toString())) for r in (of_rows, rules)]
+    assert scans == [1, 3]
+    assert ta.sample_failures(df, [], ["respondent_id"]).count() == 0
+
+
 @pytest.mark.parametrize("build", [
-    lambda df: ta.correlation_matrix(df),
     lambda df: ta.row_completeness(df),
     lambda df: ta.ks_statistic(df, df),
     lambda df: ta.row_sample(df, 10),
