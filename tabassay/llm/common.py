@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage ends there and survives lost executors."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "gzip").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
