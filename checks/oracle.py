@@ -78,7 +78,8 @@ def profile(source: str, columns: dict[str, str], *, segment: str = "", id_heuri
             heads: str = "") -> str:
     """CTEs src, u, ..., prof.  ``columns`` maps a name to text, whole, real or other.
 
-    ``heads`` is a row order for the prefix heuristics.
+    ``heads`` is a row order for the prefix heuristics; without it the dates and e-mails are
+    looked for in the distinct values with the smallest MD5.
     """
     seg = f"{segment} AS seg" if segment else "0 AS seg"
     rows = []
@@ -101,10 +102,11 @@ def profile(source: str, columns: dict[str, str], *, segment: str = "", id_heuri
                 FROM u WHERE v IS NOT NULL) WHERE rn <= 100 GROUP BY seg, col),"""
         if heads
         else f"""heads AS (SELECT seg, col,
-            count(DISTINCT {shape('v')}) AS shapes,
-            coalesce(bool_or(strpos(v, '@') > 0), false) AS has_at,
+            count(DISTINCT {shape('v')}) FILTER (WHERE rn <= 100 OR NOT {is_text}) AS shapes,
+            coalesce(bool_or(rn <= 10 AND strpos(v, '@') > 0), false) AS has_at,
             count(*) FILTER (WHERE {code}) AS code_like, count(*) AS code_base
-          FROM u WHERE v IS NOT NULL GROUP BY seg, col),"""
+          FROM (SELECT *, dense_rank() OVER (PARTITION BY seg, col ORDER BY md5(v)) AS rn
+                FROM u WHERE v IS NOT NULL) GROUP BY seg, col),"""
     )
     identifier = (
         "uniq * 1.0 / total > 0.65 AND uniq > 50"

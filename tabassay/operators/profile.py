@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -55,7 +53,6 @@ def _column_facts(frequencies: Frequencies) -> DataFrame:
         f"{_count('bad_email')} AS bad_email",
         f"{_count('code_like')} AS code_like",
         f"{_count('filled')} AS code_base",
-        "coalesce(bool_or(has_at), false) AS has_at",
         "coalesce(bit_count(bit_or(shape)), 0) AS shapes",
     ]))
     # The generator hands all columns on together, so readers that need only some of them
@@ -64,33 +61,37 @@ def _column_facts(frequencies: Frequencies) -> DataFrame:
     return facts.selectExpr(*keys, f"inline(array(struct({', '.join(values)})))")
 
 
-def _head_facts(df: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
+def _head_facts(
+    df: DataFrame, columns: list[str], order_by: list[str], segment_by: list[str]
+) -> DataFrame:
     """The prefix heuristics over the first non-null values in ``order_by`` order.
 
-    One bounded top-k per text column: it reads the column and the order key and
-    shuffles a hundred rows.
+    One scan for all text columns; a task shuffles at most a hundred rows of each.
     """
-    pos, order = positions(df), [quoted(o) for o in order_by]
-    numbered = f"row_number() OVER (ORDER BY {', '.join(order)}, value) AS row"
-    parts = []
-    for name in columns:
-        value = cells.as_text(quoted(name), df.schema[name].dataType)
-        head = (
-            df.selectExpr(*order, f"{value} AS value")
-            .where("value IS NOT NULL")
-            .orderBy(*[F.expr(o) for o in order], "value")
-            .limit(fv.DATE_HEAD)
-            .selectExpr("value", numbered)
+    pos = positions(df)
+    keys = [*by(segment_by), F.col("pos")]
+    order = [f"`#o{i}`" for i in range(len(order_by))]
+    entries = ", ".join(
+        f"struct('{pos[c]}' AS pos, {cells.as_text(quoted(c), df.schema[c].dataType)} AS value)"
+        for c in columns
+    )
+    head = (
+        df.selectExpr(
+            *map(quoted, segment_by), *[f"{quoted(c)} AS {o}" for c, o in zip(order_by, order)],
+            f"inline(array({entries}))",
         )
-        code_like = cells.mixes_letters_and_digits(cells.strip("value"))
-        parts.append(head.agg(*map(F.expr, [
-            f"'{pos[name]}' AS pos",
-            f"coalesce(bit_count(bit_or({cells.date_shape_bit(cells.strip('value'))})), 0) AS head_shapes",
-            f"coalesce(bool_or(row <= {fv.EMAIL_HEAD} AND contains(value, '@')), false) AS head_has_at",
-            f"count_if(row <= {fv.ID_HEAD} AND {code_like}) AS head_code_like",
-            f"count_if(row <= {fv.ID_HEAD}) AS head_code_base",
-        ])))
-    return reduce(DataFrame.unionByName, parts)
+        .where("value IS NOT NULL")
+        .withColumn("row", F.row_number().over(
+            Window.partitionBy(*keys).orderBy(*map(F.expr, order), "value")))
+        .where(F.col("row") <= fv.DATE_HEAD)
+    )
+    code_like = cells.mixes_letters_and_digits(cells.strip("value"))
+    return head.groupBy(*keys).agg(*map(F.expr, [
+        f"coalesce(bit_count(bit_or({cells.date_shape_bit(cells.strip('value'))})), 0) AS head_shapes",
+        f"coalesce(bool_or(row <= {fv.EMAIL_HEAD} AND contains(value, '@')), false) AS head_has_at",
+        f"count_if(row <= {fv.ID_HEAD} AND {code_like}) AS head_code_like",
+        f"count_if(row <= {fv.ID_HEAD}) AS head_code_base",
+    ]))
 
 
 def _decide_dtype(facts: DataFrame, id_heuristic: bool) -> DataFrame:
@@ -142,9 +143,11 @@ def profile_table(
 ) -> DataFrame:
     """Profile every column: one row per (segment, column), lazily.
 
-    ``order_by`` names a row order; with it the identifier, date-shape and e-mail
-    heuristics look at the first 50, 100 and 10 non-null values.  Without it they
-    look at all values, which costs nothing extra here.
+    The date-shape and e-mail heuristics look at 100 and 10 values of a text column, as a
+    look at all would find some date or ``@`` in any large enough column.  ``order_by`` names
+    a row order; with it these are the first non-null values, and the identifier heuristic
+    looks at the first 50.  Without it they are the distinct values with the smallest MD5,
+    and the identifier heuristic, which is a share, looks at all values.
     """
     segment_by, order_by = list(segment_by), list(order_by)
     columns = [c for c in (columns or df.columns) if c not in segment_by]
@@ -154,25 +157,28 @@ def profile_table(
 
     facts = _column_facts(frequencies)
     texts = [c for c in columns if kind_of(dtypes[c]) == TEXT]
-    if order_by and texts:
-        if segment_by:
-            raise ValueError("order_by and segment_by cannot be combined")
-        head = _head_facts(df, texts, order_by)
-        replaced = [c.removeprefix("head_") for c in head.columns if c != "pos"]
-        facts = facts.join(F.broadcast(head), "pos", "left").selectExpr(
-            *[c for c in facts.columns if c not in replaced],
-            *[f"coalesce(head_{c}, {c}) AS {c}" for c in replaced],
+    parts = []
+    if not texts:
+        facts = facts.selectExpr("*", "CAST(NULL AS INT) AS head_shapes", "false AS head_has_at")
+    elif order_by:
+        head = _head_facts(df, texts, order_by, segment_by)
+        joined = join_keys(facts, per_column(head, segment_by), group, "left")
+        codes = ["code_like", "code_base"]
+        facts = joined.selectExpr(
+            *[f"coalesce(head_{c}, {c}) AS {c}" if c in codes else quoted(c) for c in facts.columns],
+            "head_shapes", "head_has_at",
         )
+    else:
+        parts.append(frequencies.heads())
     facts = _decide_dtype(facts, id_heuristic)
 
     numbers = frequencies.numbers()
     readable = any(isinstance(t, cells.NUMERIC) or kind_of(t) == TEXT for t in dtypes.values())
-    parts = []
     if readable:
         quartiles = exact_quantiles(numbers, QUARTILES, segment_by, slicing).selectExpr(
             *keys, "quantiles[0] AS q1", "quantiles[1] AS median", "quantiles[2] AS q3"
         )
-        parts = [quartiles, _spread(numbers, quartiles, segment_by)]
+        parts += [quartiles, _spread(numbers, quartiles, segment_by)]
     categorical = facts.where("dtype = 'categorical'").selectExpr(*keys)
     parts.append(frequencies.top_values(categorical))
 
@@ -198,7 +204,7 @@ def _finish(rows: DataFrame, segment_by: list[str]) -> DataFrame:
         return f"CAST(CASE WHEN {when} THEN coalesce({name}, 0) ELSE 0 END AS BIGINT)"
 
     text = f"NOT {numeric}"
-    asked = f"{text} AND (contains(lower(column), 'email') OR has_at)"
+    asked = f"{text} AND (contains(lower(column), 'email') OR head_has_at)"
     filled = "(total_count - null_count)"
     counted = rows.selectExpr(
         *keys,
@@ -217,7 +223,7 @@ def _finish(rows: DataFrame, segment_by: list[str]) -> DataFrame:
         f"{count('extremes', numeric)} AS extreme_outlier_count",
         f"{count('negatives', numeric)} AS negative_count",
         f"CASE WHEN {text} THEN top_values END AS top_values",
-        f"{count('shapes', text)} AS date_format_count",
+        f"{count('coalesce(head_shapes, shapes)', text)} AS date_format_count",
         f"{count('outer_space', text)} AS whitespace_count",
         f"{count('mojibake', text)} AS encoding_issues",
         f"{count('bad_email', asked)} AS invalid_email_count",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cells
+from ..functions import fixed_values as fv
 from ..functions.cells import quoted
 from .keys import attach
 
@@ -132,12 +133,10 @@ class Frequencies:
             "outer_space": "s IS NOT NULL AND t != s",
             "mojibake": f"s IS NOT NULL AND {cells.has_mojibake('t')}",
             "bad_email": f"s IS NOT NULL AND {cells.email_fault('s')} != ''",
-            "has_at": "s IS NOT NULL AND contains(t, '@')",
             "code_like": f"s IS NOT NULL AND {cells.mixes_letters_and_digits('s')}",
-            "shape": f"CASE WHEN s IS NOT NULL THEN {cells.date_shape_bit('s')} END",
         }
         if TEXT not in self.kinds:
-            tests = {name: "false" for name in tests} | {"shape": "CAST(NULL AS INT)"}
+            tests = {name: "false" for name in tests}
         typed_number = self._of(WHOLE, REAL, DECIMAL)
         year = f"w BETWEEN 1000 AND 9999 AND {self._of(WHOLE)}"
         day = f"w IS NOT NULL AND {self._of(DAY)}"
@@ -150,13 +149,38 @@ class Frequencies:
             .selectExpr(
                 *self.keys, "n", "filled", "num",
                 f"(numeric_like OR (filled AND {typed_number})) AS numeric_like",
-                "outer_space", "mojibake", "has_at", "code_like",
+                "outer_space", "mojibake", "code_like",
                 "(bad_email OR (filled AND s IS NULL)) AS bad_email",
                 f"CASE WHEN {year} THEN {cells.shape_bit('YYYY')}"
-                f" WHEN {day} THEN {cells.shape_bit('ISO')} ELSE shape END AS shape",
+                f" WHEN {day} THEN {cells.shape_bit('ISO')} END AS shape",
             )
         )
 
+    def heads(self) -> DataFrame:
+        """(segment..., pos, head_shapes, head_has_at) of the text columns, from a few distinct values.
+
+        Those with the smallest MD5 are looked at, so the size of a table does not decide
+        what is found.  Results of the tests are shuffled, not texts, and of each column
+        and task only as many as are looked at.
+        """
+        keys = [F.expr(c) for c in self.keys]
+        order = Window.partitionBy(*keys).orderBy("digest")
+        return (
+            self._read()
+            .where("s IS NOT NULL")
+            .selectExpr(
+                *self.keys, "md5(t) AS digest", "contains(t, '@') AS has_at",
+                f"{cells.date_shape_bit('s')} AS shape",
+            )
+            .withColumn("row", F.row_number().over(order))
+            .where(F.col("row") <= fv.DATE_HEAD)
+            .groupBy(*keys)
+            .agg(*map(F.expr, [
+                "coalesce(bit_count(bit_or(shape)), 0) AS head_shapes",
+                f"coalesce(bool_or(row <= {fv.EMAIL_HEAD} AND has_at), false) AS head_has_at",
+            ]))
+        )
+
     def top_values(self, wanted: DataFrame, k: int = 5) -> DataFrame:
         """The k most frequent values of the ``wanted`` columns, ties by value.
 

@@ -1,5 +1,6 @@
 """Profiles and scores against hand-derived values."""
 
+import hashlib
 import random
 import statistics
 
@@ -101,6 +102,26 @@ def test_heads_follow_the_row_order(spark):
     assert (whole["date_format_count"], whole["invalid_email_count"]) == (1, 299)
 
 
+def test_a_stray_at_sign_makes_no_email_column(spark):
+    """Without a row order the look is at the distinct values with the smallest MD5, whatever the size."""
+    texts = sorted((f"text {i}" for i in range(300)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    late = next(t for t in (f"a{i}@b" for i in range(9999)) if hashlib.md5(t.encode()).hexdigest() > hashlib.md5(texts[10].encode()).hexdigest())
+    early = next(t for t in (f"a{i}@b" for i in range(9999)) if hashlib.md5(t.encode()).hexdigest() < hashlib.md5(texts[0].encode()).hexdigest())
+    for stray, found in ((late, 0), (early, 301)):
+        rows = spark.createDataFrame([(t,) for t in [*texts, stray]], "t string")
+        assert by_column(profile_table(rows))["t"]["invalid_email_count"] == found
+
+
+def test_heads_follow_the_row_order_in_segments(spark):
+    rows = spark.range(600).selectExpr(
+        "id", "IF(id % 2 = 0, 'even', NULL) AS part",
+        "CASE WHEN id IN (2, 599) THEN 'a@b.co' ELSE 'text' END AS t", "'2024-01-01' AS day",
+    )
+    found = profile_table(rows, ["t", "day"], segment_by=["part"], order_by=["id"])
+    got = {(r["part"], r["column"]): (r["invalid_email_count"], r["date_format_count"]) for r in found.collect()}
+    assert got == {("even", "t"): (299, 0), (None, "t"): (0, 0), ("even", "day"): (0, 1), (None, "day"): (0, 1)}
+
+
 def test_nan_is_missing_and_typed_columns_keep_every_digit(spark):
     rows = spark.sql("""
         SELECT double('nan') AS d, 9007199254740993L AS big, CAST('1.10' AS DECIMAL(30, 20)) AS dec,
