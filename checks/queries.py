@@ -205,6 +205,22 @@ def _(spark, sf):
     return read.selectExpr("event_id", "`user.id` AS user", "`user.more.kind` AS kind", "tags")
 
 
+@query(
+    "a3_scan_json_mixed_folder",
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind,"
+    " CASE WHEN event_id % 2 = 1 THEN '{\"type\":\"' || event_type || '\"}' END AS items FROM events",
+)
+def _(spark, sf):
+    path = shared_folder(spark)
+    events = table(spark, sf, "events")
+    _as_json_arrays(events.where("event_id % 2 = 1").selectExpr(
+        "to_json(struct(event_id, array(struct(event_type AS type)) AS items)) AS value"), f"{path}/arrays")
+    wrapped = events.where("event_id % 2 = 0").groupBy((F.col("event_id") / 2 % 64).cast("int").alias("file"))
+    rows = wrapped.agg(F.expr("to_json(struct(collect_list(struct(event_id, event_type AS kind)) AS data)) AS value"))
+    rows.write.partitionBy("file").text(f"{path}/wrapped")
+    return ta.scan_json_records(spark, f"{path}/{{arrays,wrapped/*}}").select("event_id", "kind", "items")
+
+
 @query("a4_flatten_json", "SELECT event_id, user_id, event_type, value FROM events")
 def _(spark, sf):
     nested = table(spark, sf, "events").selectExpr(
@@ -1179,10 +1195,14 @@ def _(spark, sf):
     return ta.evidence_issue_counts(scored(spark, sf, "survey"))
 
 
+_EVENTS_OF = "count(*) FILTER (WHERE NOT passed) + (SELECT count(*) FROM interest WHERE round(mixed_type_pct, 2) > 10)"
 _TRIAGE = f"""{SURVEY_SCORED} {o.rules(SURVEY_RULES)}, {_INTEREST}
   SELECT 'confirmed' AS verdict, 'confirm_' || rule_id AS issue_id, rule_id, NULL AS "column", severity, name AS title,
     'Deterministic contract flagged ' || violation_count || ' violation(s) (' || violation_pct || '%): ' || message
       || '. Review samples before treating as actionable.' AS explanation,
+    'rule:' || rule_id || ' | violations:' || violation_count || ' | sample_failures[0..'
+      || (least(CASE WHEN rule_id IN ('no_duplicate_rows', 'unique_respondent') THEN greatest(violation_count, 2)
+                ELSE violation_count END, 5) - 1) || ']' AS evidence_refs,
     CASE WHEN rule_id = 'no_duplicate_rows' AND violation_pct < 2 THEN 'fix'
          WHEN rule_id = 'high_item_missingness' THEN 'document' ELSE 'manual_review' END AS action,
     CAST(0.85 AS DOUBLE) AS confidence
@@ -1190,14 +1210,36 @@ _TRIAGE = f"""{SURVEY_SCORED} {o.rules(SURVEY_RULES)}, {_INTEREST}
   UNION ALL
   SELECT 'confirmed', 'mixed_' || "column", NULL, "column", 'warning', 'Mixed encoding in ' || "column",
     'Column has ' || round(mixed_type_pct, 2) || '% non-numeric values in a numeric-leaning column — common in survey'
-      || ' Likert exports with text labels.', 'manual_review', CAST(0.85 AS DOUBLE)
-  FROM interest WHERE round(mixed_type_pct, 2) > 10"""
+      || ' Likert exports with text labels.',
+    'ColumnProfile.mixed_type_pct=' || round(mixed_type_pct, 2) || ' | top_values:['
+      || CASE WHEN dtype = 'categorical' THEN coalesce(best, '') ELSE '' END || ']',
+    'manual_review', CAST(0.85 AS DOUBLE)
+  FROM interest LEFT JOIN (SELECT col, string_agg(v || ' (' || n || ')', ', ' ORDER BY n DESC, v) AS best FROM (
+      SELECT col, v, count(*) AS n, row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, v) AS place
+      FROM u WHERE v IS NOT NULL GROUP BY col, v) WHERE place <= 3 GROUP BY col) ON col = "column"
+  WHERE round(mixed_type_pct, 2) > 10"""
+
+
+def survey_triage(spark, sf):
+    df, rules = contract_rules(spark, sf, "survey")
+    found, samples = ta.evaluate_rules(df, rules), ta.evidence_samples(df, rules, _SURVEY_ORDER)
+    return df, found, ta.triage_issues(found, ta.columns_of_interest(scored(spark, sf, "survey")), samples=samples)
 
 
 @query("h5_triage_issues", _TRIAGE)
 def _(spark, sf):
-    df, rules = contract_rules(spark, sf, "survey")
-    return ta.triage_issues(ta.evaluate_rules(df, rules), ta.columns_of_interest(scored(spark, sf, "survey")))
+    issues = survey_triage(spark, sf)[2]
+    return issues.withColumn("evidence_refs", F.expr("array_join(evidence_refs, ' | ')"))
+
+
+@query("h5_triage_summary", f"""{SURVEY_SCORED} {o.rules(SURVEY_RULES)}, {_INTEREST},
+  counted AS (SELECT count(*) FILTER (WHERE passed) AS rules_passed, count(*) FILTER (WHERE NOT passed) AS rules_failed,
+      {_EVENTS_OF} AS confirmed, (SELECT count(*) FROM src) AS n FROM rule)
+  SELECT n AS rows_analyzed, n AS total_rows, false AS sampled, rules_passed, rules_failed, confirmed,
+    'Reviewed ' || n || ' rows (' || n || ' total). ' || confirmed || ' issue(s) to review.' AS summary FROM counted""")
+def _(spark, sf):
+    df, found, issues = survey_triage(spark, sf)
+    return ta.triage_summary(ta.evidence_envelope(df, found), issues)
 
 
 _RECS = "string_split(recommendations, ' | ')"

@@ -20,8 +20,8 @@ from .operators.fixes import (
 )
 from .operators.profile import profile_table
 from .operators.review import (
-    columns_of_interest, evidence_completeness, evidence_issue_counts, evidence_samples,
-    report_rows, triage_issues,
+    columns_of_interest, evidence_completeness, evidence_envelope, evidence_issue_counts, evidence_samples,
+    report_rows, triage_issues, triage_summary,
 )
 from .operators.rows import column_series, preview, reject_empty, row_sample
 from .operators.scoring import (

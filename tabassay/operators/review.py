@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import literal
+from ..plans.keys import side_by_side
 from .analytics import issue_summary, row_completeness, title
 from .contracts import Rule, sample_failures
 from .scoring import PENALTIES, one_decimal
@@ -45,21 +46,30 @@ def evidence_issue_counts(profile: DataFrame) -> DataFrame:
 
 
 def triage_issues(
-    rule_rows: DataFrame, interest: DataFrame, *, sampled: bool = False
+    rule_rows: DataFrame, interest: DataFrame, *, samples: DataFrame | None = None, sampled: bool = False
 ) -> DataFrame:
-    """(verdict, issue_id, rule_id, column, severity, title, explanation, action, confidence).
+    """(verdict, issue_id, rule_id, column, severity, title, explanation, evidence_refs, action, confidence).
 
     Failed rules and strongly mixed columns are confirmed.  If there are none although
-    some rule passed, one entry says so.  The wordings are fixed values.
+    some rule passed, one entry says so.  ``samples`` are ``evidence_samples``; the evidence
+    of a rule refers to those it has.  The wordings are fixed values.
     """
     confidence = "0.65D" if sampled else "0.85D"
-    failed = rule_rows.where("NOT passed").selectExpr(
+    flagged = rule_rows.where("NOT passed")
+    if samples is None:
+        flagged = flagged.selectExpr("*", "CAST(NULL AS BIGINT) AS sample_rows")
+    else:  # as many rows as there are rules
+        counts = samples.groupBy("rule_id").agg(F.expr("count(1) AS sample_rows"))
+        flagged = flagged.join(F.broadcast(counts), "rule_id", "left")
+    failed = flagged.selectExpr(
         "0 AS part", "ordinal",
         "'confirmed' AS verdict", "concat('confirm_', rule_id) AS issue_id", "rule_id",
         "CAST(NULL AS STRING) AS column", "severity", "name AS title",
         "concat('Deterministic contract flagged ', violation_count, ' violation(s) (',"
         " violation_pct, '%): ', message, '. Review samples before treating as actionable.')"
         " AS explanation",
+        "array_compact(array(concat('rule:', rule_id), concat('violations:', violation_count),"
+        " concat('sample_failures[0..', sample_rows - 1, ']'))) AS evidence_refs",
         "CASE WHEN rule_id = 'no_duplicate_rows' AND violation_pct < 2 THEN 'fix'"
         " WHEN rule_id = 'high_item_missingness' THEN 'document' ELSE 'manual_review' END"
         " AS action",
@@ -71,6 +81,9 @@ def triage_issues(
         "concat('Mixed encoding in ', column) AS title",
         "concat('Column has ', mixed_type_pct, '% non-numeric values in a numeric-leaning"
         " column — common in survey Likert exports with text labels.') AS explanation",
+        "array(concat('ColumnProfile.mixed_type_pct=', mixed_type_pct), concat('top_values:[',"
+        " coalesce(array_join(transform(slice(top_values, 1, 3), v -> concat(v.value, ' (', v.n, ')')), ', '), ''),"
+        " ']')) AS evidence_refs",
         "'manual_review' AS action",
     )
     # One row whatever happens: kept when some rule passed and nothing was confirmed.
@@ -86,6 +99,7 @@ def triage_issues(
             "CAST(NULL AS STRING) AS severity", "CAST(NULL AS STRING) AS title",
             "'All contract rules passed on analyzed data; no semantic flags to confirm.'"
             " AS explanation",
+            "CAST(array() AS ARRAY<STRING>) AS evidence_refs",
             "CAST(NULL AS STRING) AS action",
         )
     )
@@ -95,11 +109,35 @@ def triage_issues(
         .orderBy("part", "ordinal")
         .selectExpr(
             "verdict", "issue_id", "rule_id", "column", "severity", "title", "explanation",
-            "action", f"{confidence} AS confidence",
+            "evidence_refs", "action", f"{confidence} AS confidence",
         )
     )
 
 
+def evidence_envelope(
+    analyzed: DataFrame, rule_rows: DataFrame, whole: DataFrame | None = None
+) -> DataFrame:
+    """One row (rows_analyzed, total_rows, sampled, rules_passed, rules_failed); ``whole`` if a sample was analyzed."""
+    rows = analyzed.agg(F.expr("count(1) AS rows_analyzed"))
+    rules = rule_rows.agg(F.expr("count_if(passed) AS rules_passed"), F.expr("count_if(NOT passed) AS rules_failed"))
+    parts = [rows, rules] if whole is None else [rows, rules, whole.agg(F.expr("count(1) AS total_rows"))]
+    total = "rows_analyzed" if whole is None else "total_rows"
+    return side_by_side(parts, []).selectExpr(
+        "rows_analyzed", f"{total} AS total_rows", f"rows_analyzed < {total} AS sampled", "rules_passed", "rules_failed"
+    )
+
+
+def triage_summary(envelope: DataFrame, issues: DataFrame) -> DataFrame:
+    """The row of ``evidence_envelope`` with (confirmed, summary) of its triage; the wording is a fixed value."""
+    confirmed = issues.agg(F.expr("count_if(verdict = 'confirmed') AS confirmed"))
+    return side_by_side([envelope, confirmed], []).selectExpr(
+        *envelope.columns, "confirmed",
+        "concat('Reviewed ', rows_analyzed, ' rows (', total_rows, ' total)',"
+        " IF(sampled, ' (sampled analysis — counts may differ on full data)', ''),"
+        " '. ', confirmed, ' issue(s) to review.') AS summary",
+    )
+
+
 def report_rows(
     scored: DataFrame,
     table: DataFrame,

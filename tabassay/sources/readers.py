@@ -208,19 +208,51 @@ def flatten_json(df: DataFrame) -> DataFrame:
     return df.selectExpr(*[e for f in df.schema for e in leaves(f.name, quoted(f.name), f.dataType)])
 
 
+def _json_layouts(spark: SparkSession, path: str, options: dict) -> dict[str, list[str]]:
+    """Files by the key of the top-level object that holds their rows; "" where none does."""
+    first = (
+        spark.read.text(path)
+        .selectExpr(
+            "_metadata.file_path AS path", r"regexp_extract(value, '[\\[{]', 0) AS bracket",
+            "struct(_metadata.file_block_start, monotonically_increasing_id()) AS place",
+        )
+        .where("bracket != ''")
+        .groupBy("path")
+        .agg(F.expr("min_by(bracket, place) AS bracket"))
+    )
+    layouts: dict[str, list[str]] = {}
+    objects = []
+    for row in first.orderBy("path").toLocalIterator():
+        files = objects if row["bracket"] == "{" else layouts.setdefault("", [])
+        files.append(unquote(row["path"]))
+    if objects:
+        raw = spark.read.options(**options).json(objects)
+        held = {f.name: f.dataType for f in raw.schema if isinstance(f.dataType, T.ArrayType)}
+        keys = [k for k in fv.RECORD_KEYS if k in held and isinstance(held[k].elementType, T.StructType)]
+        whens = " ".join(f"WHEN {quoted(k)} IS NOT NULL THEN {literal(k)}" for k in keys)
+        key = f"CASE {whens} ELSE '' END" if keys else "''"
+        for row in raw.selectExpr("_metadata.file_path AS path", f"{key} AS key").orderBy("path").toLocalIterator():
+            layouts.setdefault(row["key"], []).append(unquote(row["path"]))
+    return layouts
+
+
 def scan_json_records(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A JSON array of objects, an object that holds the rows under a known key, or one object."""
-    raw = spark.read.options(
-        multiLine=True, primitivesAsString=True, encoding=encoding, mode="FAILFAST"
-    ).json(path)
-    if not raw.columns:
-        raise ValueError("File has no rows or columns")
-    for key in fv.RECORD_KEYS:
-        held = raw.schema[key].dataType if key in raw.columns else None
-        if isinstance(held, T.ArrayType) and isinstance(held.elementType, T.StructType):
+    """JSON documents, one a file: an array of objects, an object with its rows under a known key, or one object.
+
+    Each file is judged by itself, and only a top-level object is searched for rows; files of
+    one layout are read together, and those of others joined on by column name.
+    """
+    options = {"multiLine": True, "primitivesAsString": True, "encoding": encoding, "mode": "FAILFAST"}
+    parts = []
+    for key, files in (_json_layouts(spark, path, options) or {"": [path]}).items():
+        raw = spark.read.options(**options).json(files)
+        if key:
             raw = raw.selectExpr(f"inline({quoted(key)})")
-            break
-    return normalize_table(flatten_json(raw))
+        if raw.columns:
+            parts.append(normalize_cells(dedupe_headers(flatten_json(raw))))
+    if not parts:
+        raise ValueError("File has no rows or columns")
+    return normalize_table(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from tabassay import (
     assess_contract, build_rules, column_quality, columns_of_interest, dimension_contributions,
     dimension_scores, duplicate_rows, evaluate_rules, evidence_completeness,
     evidence_issue_counts, evidence_samples, profile_table, report_rows, resolve_columns,
-    schema_drift, table_score, triage_issues,
+    schema_drift, table_score, triage_issues, evidence_envelope, triage_summary,
 )
 
 
@@ -41,6 +41,23 @@ def test_mixed_columns_are_warned_about(spark):
     assert [(r["issue_id"], r["column"], r["severity"]) for r in found] == [("mixed_q", "q", "warning")]
 
 
+def test_evidence_references_and_summary(spark, survey):
+    scored, rules, rows = parts(survey, "survey")
+    samples = evidence_samples(survey, rules, ["respondent_id"])
+    issues = triage_issues(rows, columns_of_interest(scored), samples=samples)
+    assert issues.first()["evidence_refs"] == ["rule:no_duplicate_rows", "violations:1", "sample_failures[0..1]"]
+    whole = triage_summary(evidence_envelope(survey, rows), issues).first()
+    assert whole["summary"] == "Reviewed 5 rows (5 total). 3 issue(s) to review."
+    part = triage_summary(evidence_envelope(survey, rows, survey.union(survey)), issues).first()
+    assert part["summary"] == (
+        "Reviewed 5 rows (10 total) (sampled analysis — counts may differ on full data). 3 issue(s) to review.")
+    assert (part["sampled"], part["rules_failed"]) == (True, 3)
+    mixed = spark.createDataFrame([(f"R{i}", "Agree" if i % 2 else "3") for i in range(10)], "respondent_id string, q string")
+    scored, _, rows = parts(mixed, "survey")
+    assert triage_issues(rows, columns_of_interest(scored)).first()["evidence_refs"] == [
+        "ColumnProfile.mixed_type_pct=50.0", "top_values:[3 (5), Agree (5)]"]
+
+
 def test_evidence(survey):
     scored, rules, _ = parts(survey, "survey")
     assert [r["column"] for r in columns_of_interest(scored).collect()] == ["q2", "q1", "q3"]

@@ -94,6 +94,22 @@ def test_json_nested_lists_and_single_object(spark, tmp_path):
     assert row == {"id": "1", "tags": "a, 2", "who.home.city": "Oslo", "who.name": "Ann"}
 
 
+def test_json_documents_of_a_folder_are_judged_one_by_one(spark, tmp_path):
+    """An array whose objects have a list called items stays whole beside wrapped rows and single objects."""
+    documents = {
+        "array": [{"id": 1, "items": [{"x": 1}]}, {"id": 2, "items": []}, {"id": 3, "items": None}],
+        "wrapped": {"data": [{"id": 4}, {"id": 5, "name": "e"}], "count": 2},
+        "rows": {"rows": [{"id": 6}]}, "empty": {"data": []}, "one": {"id": 7, "name": "g"},
+    }
+    for name, payload in documents.items():
+        (tmp_path / f"a {name}.json").write_text("\n " + json.dumps(payload, indent=1))
+    df = scan_json_records(spark, str(tmp_path))
+    assert sorted(df.columns) == ["id", "items", "name"]
+    assert cells(df.selectExpr("id", "items", "coalesce(name, '')")) == [
+        ("1", '{"x":"1"}', ""), ("2", None, ""), ("3", None, ""), ("4", None, ""), ("5", None, "e"),
+        ("6", None, ""), ("7", None, "g")]
+
+
 def test_json_faults(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{not json")
     with pytest.raises(Exception):
