@@ -269,9 +269,9 @@ def _(spark, sf):
     return ta.normalize_cells(lists)
 
 
-@query("a10_reject_empty", "SELECT o_orderkey, o_orderstatus FROM orders")
+@query("a10_reject_empty", "SELECT * FROM orders")
 def _(spark, sf):
-    return ta.reject_empty(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"))
+    return ta.reject_empty(table(spark, sf, "orders"))
 
 
 @query(
@@ -353,12 +353,12 @@ profile_query("b2_infer_dtype", {"dtype": "="}, "survey")
     "b3_detect_id_column",
     o.profile("SELECT * FROM orders", {
         "o_orderkey": "whole", "o_custkey": "whole", "o_orderstatus": "text", "o_totalprice": "real",
-        "o_orderpriority": "text"})
+        "o_orderdate": "other", "o_orderpriority": "text"})
     + " SELECT \"column\", dtype, round(cardinality, 4) AS cardinality FROM prof",
 )
 def _(spark, sf):
-    kept = table(spark, sf, "orders").drop("o_orderdate")
-    return ta.profile_table(kept).selectExpr("column", "dtype", "round(cardinality, 4) AS cardinality")
+    profile = ta.profile_table(table(spark, sf, "orders"))
+    return profile.selectExpr("column", "dtype", "round(cardinality, 4) AS cardinality")
 
 
 profile_query("b4_null_stats", {"total_count": "n", "null_count": "n", "null_pct": "r"}, "survey")
@@ -683,10 +683,10 @@ def _(spark, sf):
 
 @query(
     "d4_empty_cells_per_row",
-    f"SELECT respondent_id, q1, q2, q3, {_empties(SURVEY_COLS)} AS empty_cells FROM ({SURVEY_SQL})",
+    f"SELECT *, {_empties(SURVEY_COLS)} AS empty_cells FROM ({SURVEY_SQL})",
 )
 def _(spark, sf):
-    return ta.empty_cells_per_row(survey(spark, sf)).drop("score")
+    return ta.empty_cells_per_row(survey(spark, sf))
 
 
 def dimension_query(name, dimension, sector):
@@ -905,11 +905,15 @@ def _(spark, sf):
 
 @query("e6_drift_scope",
        f"{KS_P} SELECT \"column\", 'distribution_shifted' AS change, round(p_value, 6) AS p_value FROM p"
-       " WHERE p_value < 0.05 UNION ALL SELECT 'extra', 'added', NULL UNION ALL SELECT 'event_type', 'removed', NULL")
+       " WHERE p_value < 0.05 UNION ALL SELECT 'extra', 'added', NULL UNION ALL SELECT 'event_type', 'removed', NULL"
+       " UNION ALL SELECT unnest(['event_id', 'value', 'extra']), 'profiled rows',"
+       " (SELECT least(count(*), 1000) FROM events WHERE event_id % 2 = 1)")
 def _(spark, sf):
+    """The profile looks at a sample, drift at the whole table."""
     base, now = drift_pair(spark, sf)
-    ta.row_sample(now, 1000, ["event_id"])  # what a profile would look at; drift takes the table
-    return rounded(ta.schema_drift(base, now).select("column", "change", "p_value"), 6)
+    profile = ta.profile_table(ta.row_sample(now, 1000, ["event_id"]))
+    seen = profile.selectExpr("column", "'profiled rows' AS change", "double(total_count) AS p_value")
+    return rounded(ta.schema_drift(base, now).select("column", "change", "p_value").unionByName(seen), 6)
 
 
 # ---------------------------------------------------------------- F  fixes
@@ -921,29 +925,29 @@ def _(spark, sf):
 
 
 @query("f2_fix_impute_median",
-       f"WITH src AS ({SURVEY_SQL}) SELECT respondent_id, coalesce(q1, (SELECT CAST(quantile_cont({o.number('q1')}, 0.5)"
-       " AS VARCHAR) FROM src)) AS q1, score FROM src")
+       f"WITH src AS ({SURVEY_SQL}) SELECT * REPLACE (coalesce(q1, (SELECT CAST(quantile_cont({o.number('q1')}, 0.5)"
+       " AS VARCHAR) FROM src)) AS q1) FROM src")
 def _(spark, sf):
-    return ta.fix_impute_median(survey(spark, sf), "q1").select("respondent_id", "q1", "score")
+    return ta.fix_impute_median(survey(spark, sf), "q1")
 
 
 @query("f2_fix_impute_median_typed",
-       f"WITH src AS ({SURVEY_SQL}) SELECT respondent_id, q1, round(coalesce(score, (SELECT quantile_cont(score, 0.5)"
-       " FROM src)), 6) AS score FROM src")
+       f"WITH src AS ({SURVEY_SQL}) SELECT * REPLACE (round(coalesce(score, (SELECT quantile_cont(score, 0.5)"
+       " FROM src)), 6) AS score) FROM src")
 def _(spark, sf):
-    return rounded(ta.fix_impute_median(survey(spark, sf), "score").select("respondent_id", "q1", "score"), 6)
+    return rounded(ta.fix_impute_median(survey(spark, sf), "score"), 6)
 
 
 @query("f3_fix_impute_mode",
-       f"WITH src AS ({ORDERS_SQL}) SELECT order_key, coalesce(store_id, (SELECT store_id FROM src WHERE store_id IS"
-       " NOT NULL GROUP BY store_id ORDER BY count(*) DESC, store_id LIMIT 1)) AS store_id FROM src")
+       f"WITH src AS ({ORDERS_SQL}) SELECT * REPLACE (coalesce(store_id, (SELECT store_id FROM src WHERE store_id IS"
+       " NOT NULL GROUP BY store_id ORDER BY count(*) DESC, store_id LIMIT 1)) AS store_id) FROM src")
 def _(spark, sf):
-    return ta.fix_impute_mode(orders(spark, sf), "store_id").select("order_key", "store_id")
+    return ta.fix_impute_mode(orders(spark, sf), "store_id")
 
 
-@query("f4_fix_strip_whitespace", f"SELECT order_key, {o.trim('sku')} AS sku, email FROM ({ORDERS_SQL})")
+@query("f4_fix_strip_whitespace", f"SELECT * REPLACE ({o.trim('sku')} AS sku) FROM ({ORDERS_SQL})")
 def _(spark, sf):
-    return ta.fix_strip_whitespace(orders(spark, sf), "sku").select("order_key", "sku", "email")
+    return ta.fix_strip_whitespace(orders(spark, sf), "sku")
 
 
 @query("f5_fix_dedupe", f"SELECT DISTINCT * FROM ({ORDERS_SQL})")
