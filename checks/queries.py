@@ -221,10 +221,10 @@ def _(spark, sf):
     return ta.scan_json_records(spark, f"{path}/{{arrays,wrapped/*}}").select("event_id", "kind", "items")
 
 
-@query("a4_flatten_json", "SELECT event_id, user_id, event_type, value FROM events")
+@query("a4_flatten_json", "SELECT * FROM events")
 def _(spark, sf):
     nested = table(spark, sf, "events").selectExpr(
-        "event_id", "struct(user_id, struct(event_type, value) AS what) AS who"
+        "event_id", "ts", "struct(user_id, struct(event_type, value, props) AS what) AS who"
     )
     flat = ta.flatten_json(nested)
     return flat.toDF(*[c.split(".")[-1] for c in flat.columns])
@@ -521,17 +521,17 @@ def _(spark, sf):
     return rounded(score)
 
 
-_SEG_EVENTS = {"user_id": "whole", "value": "real", "props": "text"}
+_SEG_EVENTS = {"event_id": "whole", "ts": "other", "user_id": "whole", "value": "real", "props": "text"}
 
 
 @query(
     "c6_overall_score_by_segment",
-    o.profile("SELECT event_type, user_id, value, props FROM events", _SEG_EVENTS, segment="event_type")
-    + o.SCORED + o.duplicates(["event_type", "user_id", "value", "props"], "event_type") + o.TABLE
+    o.profile("SELECT * FROM events", _SEG_EVENTS, segment="event_type")
+    + o.SCORED + o.duplicates(["event_type", *_SEG_EVENTS], "event_type") + o.TABLE
     + f" SELECT seg AS event_type, {_TABLE_SQL} FROM tab",
 )
 def _(spark, sf):
-    df = table(spark, sf, "events").select("event_type", *_SEG_EVENTS)
+    df = table(spark, sf, "events")
     profile = ta.profile_table(df, segment_by=["event_type"])
     duplicates = ta.duplicate_rows(df, ["event_type"])
     return rounded(ta.table_score(ta.column_quality(profile), duplicates, ["event_type"]))
