@@ -4,8 +4,9 @@ Three patterns give the base spans. Every other run of at least 20 token charact
 candidate: its encoding is inferred from its characters, then three tests compare it with random
 text in that encoding (chi-squared uniformity of the alphabet, runs above and below the middle of the
 alphabet, serial correlation of neighbours). A candidate that passes as random gets a second
-p-value, under the hypothesis that it is ordinary text or digits whose uneven letters raise
-chi-squared in proportion to its length. Benjamini and Hochberg's rule on these, per class of length
+p-value, under the hypothesis that it is ordinary text or digits in that encoding: its likelihood there, from how
+often letters stand in prose and how kinds of letters follow each other, over that of random text. The
+inverse of this ratio bounds the p-value. Benjamini and Hochberg's rule on these, per encoding and class of length
 over the whole table, says which are reported, so that long texts and large corpora
 do not raise the share of false reports.
 """
@@ -13,6 +14,7 @@ do not raise the share of false reports.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log10
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +25,27 @@ from tabassay.llm.common import let, prefix_sums, stored
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more: a run that is too short holds no longer one
 HEX = r"[0-9a-f]{32,}"  # [0-9a-f]+ of 32 or more, likewise
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"  # a name before = is no part of a value
 KINDS = ["assign", "access", "hex", "random"]
 
-HEX_LETTERS = "0123456789abcdef"
-BASE32_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-BASE64_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-
-#: Sums of squared shares of letters, in ordinary text and in decimal digits.
-TEXT_SQUARES, DIGIT_SQUARES = 0.06, 0.1
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabets of encodings: hex, base32, letters of one case with digits, letters of both, base64.
+ENCODINGS = [DIGITS + "abcdef", UPPER + "234567", LOWER + DIGITS, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/"]
+HEX_CODE, BASE32, ONE_CASE, BOTH_CASES, BASE64 = range(5)
+#: In hundredths of the letters of prose in several languages.
+SHARES = dict(
+    a=8, b=2, c=3.2, d=4, e=14, f=1.8, g=2.2, h=4, i=7.5, j=0.5, k=1.2, l=4.5, m=2.8, n=8, o=6, p=2.5, q=0.6, r=6.8, s=7, t=7.5, u=4.2, v=1.4, w=1.5,
+    x=0.5, y=1.2, z=0.9,
+)
+#: How often the kinds (lower vowel, lower consonant, upper vowel, upper consonant, digit, sign) follow each kind in words and identifiers.
+FOLLOWS = [
+    [0.14, 0.76, 0.008, 0.027, 0.015, 0.05],
+    [0.50, 0.40, 0.008, 0.027, 0.015, 0.05],
+    [0.08, 0.17, 0.08, 0.57, 0.03, 0.07],
+    [0.25, 0.10, 0.28, 0.27, 0.04, 0.06],
+    [0.015, 0.035, 0.01, 0.03, 0.75, 0.16],
+    [0.22, 0.38, 0.05, 0.13, 0.17, 0.05],
+]
 STEPS, BINS = 20, 400  # p-values are counted by twentieths of a decimal power
 
 
@@ -83,14 +97,42 @@ def _tail(z: Column) -> Column:
     return 2 * _normal(-F.abs(z))
 
 
+def _kind(letter: str) -> int:
+    if letter.isalpha():
+        return 2 * letter.isupper() + (letter.lower() not in "aeiou")
+    return 4 if letter.isdigit() else 5
+
+
+def _evidence() -> tuple[Column, Column, Column]:
+    """Decimal logarithms of random over ordinary likelihood, per encoding: of a letter, of a pair of neighbours, of the start."""
+    letters, pairs, starts = [], [], []
+    for alphabet in ENCODINGS:
+        share = {c: SHARES.get(c.lower(), 1) for c in alphabet}
+        sums = [sum(n for c, n in share.items() if _kind(c) == kind) for kind in range(6)]
+        known = [kind for kind in range(6) if sums[kind]]
+        starts.append(log10(len(known)))
+        letters.append([log10(sums[_kind(c)] / share[c] / len(alphabet)) for c in alphabet])
+        after = lambda a, b: log10(sum(FOLLOWS[a][kind] for kind in known) / FOLLOWS[a][b])
+        pairs.append([after(_kind(a), _kind(b)) for a in alphabet for b in alphabet])
+    # One literal a row, which the optimizer folds: thousands of literals would take long to plan.
+    listed = lambda row: F.split(F.lit(",".join(f"{x:.5f}" for x in row)), ",").cast("array<double>")
+    return F.array(*map(listed, letters)), F.array(*map(listed, pairs)), listed(starts)
+
+
 def _battery(token: Column) -> Column:
-    """For one candidate: is it consistent with random text, its class of length and its p-value as ordinary text."""
-    plain = F.translate(F.rtrim(token, F.lit("=")), "-_=", "+//")
-    hexes = plain.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    letters = (
-        F.when(hexes, HEX_LETTERS).when(plain.rlike("^[A-Z2-7]+$"), BASE32_LETTERS).otherwise(BASE64_LETTERS)
+    """For one candidate: is it consistent with random text, its class (encoding and length) and its p-value as ordinary text."""
+    plain, joined = F.translate(F.rtrim(token, F.lit("=")), "-_=", "+//"), F.replace(F.rtrim(token, F.lit("=")), F.lit("-"), F.lit(""))
+    # Dashes between hex digits, as in a UUID, tell nothing.
+    hexes = joined.rlike("^([0-9a-f]{16,}|[0-9A-F]{16,})$")
+    code = (
+        F.when(hexes, HEX_CODE)
+        .when(plain.rlike("^[A-Z2-7]+$"), BASE32)
+        .when(plain.rlike("[0-9]") & plain.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), ONE_CASE)
+        .when(plain.rlike("^[A-Za-z0-9]+$"), BOTH_CASES)
+        .otherwise(BASE64)
     )
-    body = F.when(hexes, F.lower(plain)).otherwise(plain)
+    body = F.when(hexes, F.lower(joined)).when(code == ONE_CASE, F.lower(plain)).otherwise(plain)
+    by_letter, by_pair, by_start = _evidence()
     number = lambda x: x.cast("double")
     add = lambda a, x: a + x
 
@@ -106,7 +148,7 @@ def _battery(token: Column) -> Column:
         )
         codes = F.transform(F.split(t["body"], ""), lambda c: number(F.instr(t["letters"], c) - 1))
         return let(
-            F.struct(size.alias("n"), k.alias("k"), (squares * k / size - size).alias("chi"), codes.alias("x"), t["digits"].alias("digits")),
+            F.struct(size.alias("n"), k.alias("k"), (squares * k / size - size).alias("chi"), codes.alias("x"), t["code"].alias("code")),
             verdict,
         )
 
@@ -126,13 +168,15 @@ def _battery(token: Column) -> Column:
         serial = F.aggregate(neighbours, F.lit(0.0), lambda a, p: a + (p["a"] - middle) * (p["b"] - middle))
         serial = serial / ((k * k - 1) / 12) / F.sqrt(n - 1)
         random = 3 * F.least(uniform, _tail(runs), _tail(serial)) >= 0.01
-        uneven = k * F.when(s["digits"], DIGIT_SQUARES).otherwise(TEXT_SQUARES) - 1
-        excess = (n - 1) * uneven
-        ordinary = _normal((chi - free - excess) / F.sqrt(2 * free + 4 * excess))
-        level = F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(ordinary, F.lit(1e-300))) * STEPS)).cast("int")
-        return F.struct(random.alias("random"), F.floor(F.log2(n)).cast("int").alias("class"), level.alias("level"))
+        of_letters, of_pairs = F.get(by_letter, s["code"]), F.get(by_pair, s["code"])
+        ordinary = F.get(by_start, s["code"]) + F.aggregate(x, F.lit(0.0), lambda a, v: a + F.get(of_letters, v.cast("int")))
+        ordinary = F.aggregate(neighbours, ordinary, lambda a, p: a + F.get(of_pairs, (p["a"] * k + p["b"]).cast("int")))
+        level = F.when(random, F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(ordinary * STEPS)))).otherwise(0).cast("int")
+        group = s["code"] * 64 + F.floor(F.log2(n)).cast("int")
+        return F.struct(random.alias("random"), group.alias("class"), level.alias("level"))
 
-    return let(F.struct(body.alias("body"), letters.alias("letters"), hexes.alias("digits")), tests)
+    alphabets = F.array(*map(F.lit, ENCODINGS))
+    return let(let(F.struct(body.alias("body"), code.alias("code")), lambda t: t.withField("letters", F.get(alphabets, t["code"]))), tests)
 
 
 def scanned(docs: DataFrame, text: str = "text", rate: float = 0.01, carried: Sequence[str] = ("*",)) -> DataFrame:
@@ -157,7 +201,7 @@ def scanned(docs: DataFrame, text: str = "text", rate: float = 0.01, carried: Se
         "runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), _battery(r["token"]).alias("test"))
     )
     df = stored(df.select("doc", "base", tested.alias("runs")), "spans")
-    # A row per class of length and level: at most 32 times 401, whatever the table's size.
+    # A row per encoding, class of length and level: at most 5 times 32 times 401, whatever the table's size.
     levels = (
         df.select(F.explode("runs.test").alias("t")).groupBy("t.class", "t.level").agg(F.count("*").alias("n")).collect()
     )
@@ -173,7 +217,7 @@ def scanned(docs: DataFrame, text: str = "text", rate: float = 0.01, carried: Se
 
 
 def _limits(levels: list[tuple[int, int, int]], rate: float) -> dict[int, int]:
-    """Per class of length, the lowest level whose p-value meets Benjamini and Hochberg's bound."""
+    """Per class, the lowest level whose p-value meets Benjamini and Hochberg's bound."""
     limits: dict[int, int] = {}
     for size in {s for s, _, _ in levels}:
         own = sorted(((level, n) for s, level, n in levels if s == size), reverse=True)

@@ -258,6 +258,37 @@ def test_secret_spans(spark, odd, empty):
     assert secrets.report(secrets.scanned(empty)).count() == 0
 
 
+def ordinary_run(rnd):
+    """Long identifiers, names, paths and numbers, as ordinary text has them."""
+    words = ["river", "stone", "quiet", "internal", "address", "strong", "people", "walked", "evening", "schlicht", "keiten", "mention", "with", "name"]
+    parts = [rnd.choice(words) for _ in range(rnd.randint(4, 8))]
+    number = "".join(rnd.choice("0123456789") for _ in range(26))
+    return rnd.choice([
+        "".join(parts), "_".join(parts), "-".join(parts), "/".join(parts), "".join(map(str.title, parts)), "_".join(parts).upper(), "".join(parts).upper(),
+        number, "-".join([number[:4], number[4:6], number[6:8], number]), f"{'-'.join(parts)}-{number[:5]}",
+    ])
+
+
+def test_planted_secrets_of_every_encoding_among_ordinary_runs(spark):
+    rnd = random.Random(11)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base32": up + "234567", "base36": low + digits, "BASE36": up + digits,
+             "base62": up + low + digits, "base64": up + low + digits + "+/", "url64": up + low + digits + "-_"}
+    planted = [(k, n, "".join(rnd.choice(a) for _ in range(n))) for k, a in kinds.items() for n in (20, 24, 31, 32, 40, 64) for _ in range(40)]
+    planted = [p for p in planted if p[0] != "hex" or p[1] < 32]  # longer ones are base spans
+    for _ in range(40):
+        t = "".join(rnd.choice(digits + "abcdef") for _ in range(32))
+        planted.append(("uuid", 36, "-".join([t[:8], t[8:12], t[12:16], t[16:20], t[20:]])))
+    rows = [(i, f"value {t} end") for i, (_, _, t) in enumerate(planted)] + [(i, f"see {ordinary_run(rnd)} there") for i in range(10_000, 22_000)]
+    rows.append((9_999, f"session_reference={planted[-1][2]}"))
+    found = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.scanned(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))).collect()}
+    shares = pd.DataFrame([(k, n, "random:6:" in found[i]) for i, (k, n, _) in enumerate(planted)], columns=["kind", "n", "hit"]).groupby(["kind", "n"])["hit"].mean()
+    assert (shares >= shares.index.get_level_values("n").map(lambda n: 0.7 if n < 24 else 0.85)).all(), shares[shares < 0.95].to_dict()
+    false = sum(found[i] != "" for i in range(10_000, 22_000))
+    assert false <= 0.01 * sum("random" in s for s in found.values()), false
+    assert found[9_999] == "random:18:54"
+
+
 def test_nearest_neighbours_recall(spark):
     rnd = np.random.default_rng(4)
     x = rnd.normal(size=(2000, 24)) * rnd.uniform(0.5, 2, (2000, 1))
