@@ -84,13 +84,15 @@ def _in_buckets(width: int, distance: int, put_off: bool) -> Callable[[Iterator[
     """Links within runs of equal key; columns: table, key, id, bits (`width` longs as binary, or the id itself if 1).
 
     A run of over MOST members, if `put_off`, is not compared: its members are put out with `later` set.
-    Otherwise it is taken in parts, each with one member of every group found before.
+    Otherwise its table and key are put out once with `later` set, for `_completed`, and it is taken in parts, each with
+    one member of the groups found before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros((0, 2), np.int64)
         ids, bits = np.zeros(0, np.int64), np.zeros((0, width), np.uint64)
         over: tuple | None = None  # the key that is being put off
+        told: tuple | None = None  # the key that was last named as too large
 
         def out(a: np.ndarray, b: np.ndarray, later: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), later))], ["a", "b", "later"])
@@ -141,16 +143,64 @@ def _in_buckets(width: int, distance: int, put_off: bool) -> Callable[[Iterator[
                 over = tuple(keys[0])
                 keys, ids, bits = keys[:0], ids[:0], bits[:0]
             elif len(ids) > MOST:
+                if told != (told := tuple(keys[0].tolist())):
+                    yield out(keys[:1, 0], keys[:1, 1], True)
                 links = _spanning(bits, distance)
                 if links:
                     at = np.array(links)
                     yield out(ids[at[:, 0]], ids[at[:, 1]], False)
-                lead = np.setdiff1d(np.arange(len(ids)), [b for _, b in links])
+                # Only to shorten the work of _completed: a few groups' members, so that parts stay small.
+                reached = {b for _, b in links}
+                lead = np.array(sorted({a for a, _ in links} - reached)[: max(1, MOST // 16)], np.int64)
                 keys, ids, bits = keys[lead], ids[lead], bits[lead]
 
     return run
 
 
+def _completed(links: DataFrame, members: Callable[[], DataFrame], width: int, distance: int) -> DataFrame:
+    """Links (a, b) of `_in_buckets` and all that it did not see within keys over MOST.
+
+    Members of one component need no more links. So in each large key the members outside its most frequent component are
+    held against all of its members, in blocks of MOST that are dealt out by their numbers: every pair meets in some task.
+    """
+    near = links.where("NOT later").select("a", "b")
+    large = links.where("later").select(F.col("a").alias("table"), F.col("b").alias("key")).distinct()
+    if large.isEmpty():
+        return near
+    # At most one key for each MOST of a table's rows.
+    rows = members().join(F.broadcast(large), ["table", "key"]).join(components(near), "id", "left")
+    rows = stored(rows.select("table", "key", "id", "bits", F.coalesce("root", "id").alias("root")), "members")
+    counts = rows.groupBy("table", "key", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("table", "key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")
+    )
+    rows = rows.join(F.broadcast(main), ["table", "key"])
+    blocks = lambda n: F.ceil(F.col(n) / MOST)
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), blocks(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
+    place = ["table", "key", "i", "j"]
+    kept = ["id", "bits", "root"]
+    others = rows.where("root <> main").select("*", block("others").alias("i")).select("table", "key", "i", every("all").alias("j"), F.lit(True).alias("other"), *kept)
+    whole = rows.where("others > 0").select("*", block("all").alias("j")).select("table", "key", every("others").alias("i"), "j", F.lit(False).alias("other"), *kept)
+
+    def compared(group: pa.Table) -> pa.Table:
+        other = group["other"].to_numpy()
+        ids, roots = group["id"].to_numpy(), group["root"].to_numpy()
+        bits = np.frombuffer(b"".join(group["bits"].to_pylist()), "<u8").reshape(-1, width)
+        ids_, roots_, bits_ = ids[~other], roots[~other], bits[~other]
+        found = []
+        for x in np.flatnonzero(other):
+            close = np.flatnonzero(np.bitwise_count(bits_ ^ bits[x]).sum(1, dtype=np.int64) <= distance)
+            close = close[roots_[close] != roots[x]]
+            # One link to each component that is near.
+            found += [(ids[x], ids_[y]) for y in close[np.unique(roots_[close], return_index=True)[1]]]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    more = others.unionByName(whole).groupBy(*place).applyInArrow(compared, "a bigint, b bigint")
+    return near.union(stored(more, "more-links"))
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -184,7 +234,7 @@ def linked(prints: DataFrame, distance: int = 4) -> DataFrame:
     found = stored(_close(prints, distance, blocks, True), "links")
     again = found.where("later").select(F.col("a").alias("fp")).distinct()
     return found.where("NOT later").select("a", "b").union(
-        stored(_close(again, distance, 12, False), "links").select("a", "b")
+        stored(_close(again, distance, 12, False), "links").where("NOT later").select("a", "b")
     )
 
 
@@ -308,10 +358,10 @@ def one_per_group(docs: DataFrame, width: int = 5, text: str = "text") -> DataFr
                     ["table", "key", "id", "bits"],
                 )
 
-    rows = texts.where("bits IS NOT NULL").select("id", "bits").mapInArrow(keyed, "table bigint, key bigint, id bigint, bits binary")
-    dealt = rows.repartition("table", "key").sortWithinPartitions("table", "key", "id")
+    members = lambda: texts.where("bits IS NOT NULL").select("id", "bits").mapInArrow(keyed, "table bigint, key bigint, id bigint, bits binary")
+    dealt = members().repartition("table", "key").sortWithinPartitions("table", "key", "id")
     links = stored(dealt.mapInArrow(_in_buckets(WIDE, FAR, False), LINK), "links")
-    roots = components(links.select("a", "b"))
+    roots = components(_completed(links, members, WIDE, FAR))
     of = texts.select("id", "digest", "first").join(roots, "id", "left")
     of = of.withColumn("root", F.coalesce("root", "id"))
     order = F.struct(F.col("first").isNull(), "first", "digest")
