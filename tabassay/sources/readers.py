@@ -98,31 +98,45 @@ def sniff_delimiter(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _file_heads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, delimiter, first line) per file."""
+    """(path, delimiter, digest of the whole header record) per file.
+
+    The header record ends with the first line after which quotes are even; where that is none
+    of the lines kept, the path stands for it, so that the file is alike to no other.
+    """
     size = fv.DELIMITER_SAMPLE
     lines = (
         spark.read.option("lineSep", "\n").text(path)
         .selectExpr("_metadata.file_path AS path", "_metadata.file_block_start AS block",
-                    "monotonically_increasing_id() AS line", f"left(value, {size}) AS value")
+                    "monotonically_increasing_id() AS line", f"left(value, {size}) AS value",
+                    "md5(CAST(value AS BINARY)) AS digest", "length(value) - length(replace(value, '\"', '')) AS quotes")
         .where("block = 0")
     )
     in_file = Window.partitionBy("path").orderBy("line")
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     head = lines.withColumn("row", F.row_number().over(in_file)).where(F.col("row") <= size)
     # a running length, so that a file contributes its sample and not its block
+    placed = (
+        head.withColumn("start", F.coalesce(F.sum(F.expr("length(value) + 1")).over(earlier), F.lit(0)))
+        .withColumn("even", (F.sum("quotes").over(in_file.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 0).cast("int"))
+        .withColumn("closed", F.coalesce(F.sum("even").over(earlier), F.lit(0)))
+    )
     sample = (
-        head.withColumn("start", F.sum(F.expr("length(value) + 1")).over(
-            in_file.rowsBetween(Window.unboundedPreceding, -1)))
-        .where(f"coalesce(start, 0) < {size}")
+        placed.where(f"start < {size} OR closed = 0")
         .groupBy("path")
-        .agg(F.expr(f"left(array_join(transform(array_sort(collect_list(struct(row, value))),"
-                    f" x -> x.value), '\n'), {size}) AS sample"))
+        .agg(
+            F.expr(f"left(array_join(transform(array_sort(collect_list(CASE WHEN start < {size} THEN struct(row, value) END)),"
+                   f" x -> x.value), '\n'), {size}) AS sample"),
+            F.expr("array_join(transform(array_sort(collect_list(CASE WHEN closed = 0 THEN struct(row, digest) END)),"
+                   " x -> x.digest), ',') AS record"),
+            F.max("even").alias("ends"),
+        )
     )
     counts = ", ".join(
         f"struct({c} AS n, {-i} AS preference, {literal(d)} AS delimiter)"
         for i, (c, d) in enumerate(zip(_delimiter_counts("sample"), fv.DELIMITERS))
     )
     return sample.selectExpr(
-        "path", f"array_max(array({counts})).delimiter AS delimiter", r"rtrim('\r', substring_index(sample, '\n', 1)) AS header"
+        "path", f"array_max(array({counts})).delimiter AS delimiter", "IF(ends = 1, md5(CAST(record AS BINARY)), path) AS header"
     )
 
 
@@ -149,14 +163,15 @@ def scan_delimited(
     """A delimited file or folder with headers, as text.
 
     ``sep`` is found for each file when it is not given (a ``.tsv`` has tabs); files of one
-    delimiter and header line are read together, and those of others joined on by column name. With a given ``sep``
-    all files must have the header of the first. A row with more cells than its header is an error, one
+    delimiter and header record are read together, and those of others joined on by column name. With a given ``sep``
+    all files must have one header, else it is an error. A row with more cells than its header is an error, one
     with fewer is filled up. Quotes may hold line breaks, so a file is read by one task; with ``multi_line=False``
     files stay splittable and must have none.
     """
     if sep is None and path.lower().endswith(".tsv"):
         sep = "\t"
     if sep is not None:
+        _reject_other_headers(spark, path, sep, encoding, multi_line)
         return normalize_table(_read_delimited(spark, [path], sep, encoding, multi_line))
     alike: dict[tuple[str, str], list[str]] = {}
     for head in _file_heads(spark, path).orderBy("path").toLocalIterator():
@@ -172,13 +187,32 @@ def scan_delimited(
 SURPLUS = "#surplus"
 
 
-def _read_delimited(
-    spark: SparkSession, paths: list[str], sep: str, encoding: str, multi_line: bool
-) -> DataFrame:
-    options = {
+def _options(sep: str, encoding: str, multi_line: bool) -> dict:
+    return {
         "sep": sep, "encoding": encoding, "escape": '"', "multiLine": multi_line,
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
     }
+
+
+def _reject_other_headers(spark: SparkSession, path: str, sep: str, encoding: str, multi_line: bool) -> None:
+    """An error where files of a path have other header cells than the first; only records that differ as text are parsed."""
+    firsts = _file_heads(spark, path).groupBy("header").agg(F.min("path").alias("path")).orderBy("path")
+    read = spark.read.options(**_options(sep, encoding, multi_line), header=False)
+    known = None
+    for row in firsts.toLocalIterator():
+        file = unquote(row["path"])
+        header = read.csv([file]).first()
+        if header is None:
+            continue
+        known = known or (file, list(header))
+        if list(header) != known[1]:
+            raise ValueError(f"The header of {file} differs from that of {known[0]}")
+
+
+def _read_delimited(
+    spark: SparkSession, paths: list[str], sep: str, encoding: str, multi_line: bool
+) -> DataFrame:
+    options = _options(sep, encoding, multi_line)
     header = spark.read.options(**options, header=False).csv(paths).first()
     if header is None:
         raise ValueError("File has no rows or columns")

@@ -61,6 +61,26 @@ def test_folder_of_several_delimiters_and_header_orders(spark, tmp_path):
     assert cells(scan_delimited(spark, str(tmp_path)).select("x", "y")) == [("1", "2"), ("5", "6"), ("7", "8")]
 
 
+@pytest.mark.parametrize("start", [",".join(f"column_number_{i}" for i in range(300)), 'x,"broken\nname"'])
+def test_headers_that_differ_late_are_told_apart(spark, tmp_path, start):
+    cells_ = ",".join("0" * (start.count(",") + 1))
+    (tmp_path / "a.csv").write_text(f"{start},p,q\n{cells_},1,2\n")
+    (tmp_path / "b.csv").write_text(f"{start},q,p\n{cells_},4,3\n")
+    (tmp_path / "c.csv").write_text(f"{start},p\n{cells_},5\n")
+    df = scan_delimited(spark, str(tmp_path))
+    assert sorted(map(tuple, df.select("p", "q").collect()), key=str) == [("1", "2"), ("3", "4"), ("5", None)]
+
+
+@pytest.mark.parametrize("other", ["y,x", "x", "x,z", '"x\n",y'])
+def test_another_header_is_an_error_with_a_given_separator(spark, tmp_path, other):
+    for name, text in {"a.csv": "x,y\n1,2\n", "b.csv": '"x","y"\n3,4\n'}.items():
+        (tmp_path / name).write_text(text)
+    assert cells(scan_delimited(spark, str(tmp_path), sep=",")) == [("1", "2"), ("3", "4")]
+    (tmp_path / "c.csv").write_text(f"{other}\n5,6\n")
+    with pytest.raises(ValueError, match="header of"):
+        scan_delimited(spark, str(tmp_path), sep=",")
+
+
 def test_names_that_differ_in_case(spark, tmp_path):
     (tmp_path / "case.csv").write_text("ID,id,Id__1\n1,2,3\n")
     df = scan_delimited(spark, str(tmp_path / "case.csv"))
