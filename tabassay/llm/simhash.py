@@ -214,10 +214,14 @@ def _masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _close(prints: DataFrame, distance: int, blocks: int, put_off: bool) -> DataFrame:
+def _keyed(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
     keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(blocks, distance))))
     rows = prints.select(keys.alias("table", "key"), "fp").select(F.col("table").cast("bigint"), "key", F.col("fp").alias("id"))
-    dealt = rows.repartition("table", "key").sortWithinPartitions("table", "key", "id")
+    return rows
+
+
+def _close(prints: DataFrame, distance: int, blocks: int, put_off: bool) -> DataFrame:
+    dealt = _keyed(prints, distance, blocks).repartition("table", "key").sortWithinPartitions("table", "key", "id")
     return dealt.mapInArrow(_in_buckets(1, distance, put_off), LINK)
 
 
@@ -226,16 +230,17 @@ def linked(prints: DataFrame, distance: int = 4) -> DataFrame:
 
     The number of blocks follows the number of fingerprints, so that unrelated ones rarely share a key; it
     changes the work, not the components. Members of keys with over MOST members are taken again with twelve
-    blocks, whose keys leave at most 22 bits free: at most 2 ** 22 fingerprints can share one.
+    blocks, whose keys leave at most 22 bits free: at most 2 ** 22 fingerprints can share one. `_completed` compares the
+    members of keys that are still over MOST.
     """
     ship(prints.sparkSession)
     n = prints.count()
     blocks = next((b for b in range(distance + 1, 12) if n <= 4 * 2 ** (BITS * (b - distance) // b)), 12)
     found = stored(_close(prints, distance, blocks, True), "links")
     again = found.where("later").select(F.col("a").alias("fp")).distinct()
-    return found.where("NOT later").select("a", "b").union(
-        stored(_close(again, distance, 12, False), "links").where("NOT later").select("a", "b")
-    )
+    late = stored(_close(again, distance, 12, False), "links")
+    members = lambda: _keyed(again, distance, 12).withColumn("bits", F.unhex(F.lpad(F.hex("id"), 16, "0")))
+    return found.where("NOT later").select("a", "b").union(_completed(late, members, 1, distance))
 
 
 def components(links: DataFrame) -> DataFrame:
