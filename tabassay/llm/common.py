@@ -27,10 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back: lineage ends there and survives lost executors."""
+def stored(df: DataFrame, name: str, by: str | None = None, compression: str = "gzip") -> DataFrame:
+    """`df` written as Parquet to the shared folder and read back: lineage ends there and survives lost executors.
+
+    `by` names a column of few values whose rows go to folders of their own.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "gzip").parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
