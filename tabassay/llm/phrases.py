@@ -12,6 +12,7 @@ once all the same, so counts stay exact, and whatever misses the threshold is dr
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -119,16 +120,17 @@ def dealt(docs: DataFrame, shards: int, text: str, lang: str) -> list[DataFrame]
 
 
 def scanned(shard: DataFrame, scan: int, cycle: int, cells: np.ndarray, longest: int, batch: int = 8_000_000) -> DataFrame:
-    """lang, length, phrase, cell, n of the phrases that one scan counts in one shard."""
-    held = shard.sparkSession.sparkContext.broadcast(cells)
+    """lang, length, phrase, cell, n of the phrases that one scan counts in one shard, stored. The cells travel compressed."""
+    held = shard.sparkSession.sparkContext.broadcast(zlib.compress(cells.tobytes(), 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        active = np.frombuffer(zlib.decompress(held.value), np.uint8)
         waiting: dict[str, list[bytes]] = {}
         size = 0
 
         def taken() -> Iterator[pa.RecordBatch]:
             for lang, texts in waiting.items():
-                for phrases, cell, n in counted(texts, lang.encode(), scan, cycle, held.value, longest):
+                for phrases, cell, n in counted(texts, lang.encode(), scan, cycle, active, longest):
                     length = phrases[0].count(b" ") + 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.repeat(lang, len(n)), pa.repeat(pa.scalar(length, pa.int32()), len(n)), pa.array(phrases, pa.binary()), pa.array(cell), pa.array(n)],
@@ -146,7 +148,10 @@ def scanned(shard: DataFrame, scan: int, cycle: int, cells: np.ndarray, longest:
         yield from taken()
 
     found = shard.mapInArrow(count, "lang string, length int, phrase binary, cell bigint, n bigint")
-    return found.groupBy("lang", "length", F.col("phrase").cast("string").alias("phrase")).agg(F.max("cell").alias("cell"), F.sum("n").alias("n"))
+    found = found.groupBy("lang", "length", F.col("phrase").cast("string").alias("phrase"))
+    counts = stored(found.agg(F.max("cell").alias("cell"), F.sum("n").alias("n")), f"scan-{scan}")
+    held.destroy()
+    return counts
 
 
 def reached(tables: list[DataFrame], least: int, longest: int, cells: int) -> np.ndarray:
@@ -175,7 +180,7 @@ def frequent(
     cells = np.full(1 << cell_bits, NEVER, np.uint8)
     scan, until = 0, shards
     while scan < until:
-        tables.append(stored(scanned(parts[scan % shards], scan, shards, cells, longest), f"scan-{scan}"))
+        tables.append(scanned(parts[scan % shards], scan, shards, cells, longest))
         # a phrase whose cycle ends with this scan was counted in the last `shards` scans and in no others
         new = reached(tables[-shards:], least, longest, len(cells)) & (cells == NEVER)
         scan += 1
