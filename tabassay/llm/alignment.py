@@ -15,8 +15,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -59,7 +61,7 @@ class ByteSide:
             self.pieces[i] = special[i].encode() if i in special else bytes(byte[c] for c in token)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of a space and each text."""
+        """Ids of a space and each text, whole."""
         out = []
         for text in texts:
             if (text.isascii() or SETTLED.fullmatch(text)) and not RUN.search(text):
@@ -81,15 +83,32 @@ class PieceSide:
         return self.library.encode(texts, num_threads=1)
 
 
+class Sides:
+    """Both tokenizers."""
+
+    def __init__(self, a: ByteSide, b: PieceSide):
+        self.a, self.b = a, b
+        self.sizes = [np.array([len(p) for p in side.pieces], np.int64) for side in (a, b)]
+
+    def ids(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of both sides; none for a text that is empty or that a side's tokens do not give back, with a space before it."""
+        out = []
+        for text, a, b in zip(texts, self.a.ids(texts), self.b.ids(texts)):
+            want = (" " + text).encode()
+            fine = text and all(b"".join(map(side.pieces.__getitem__, ids)) == want for side, ids in ((self.a, a), (self.b, b)))
+            out.append((a, b) if fine else ([], []))
+        return out
+
+
 @lru_cache(maxsize=2)
-def sides(a: tuple[str, str], b: str) -> tuple[ByteSide, PieceSide]:
+def sides(a: tuple[str, str], b: str) -> Sides:
     """Both tokenizers, once per worker process."""
-    return ByteSide(*a), PieceSide(b)
+    return Sides(ByteSide(*a), PieceSide(b))
 
 
 def _tokens(ids: list[list[int]], sizes: np.ndarray) -> pd.DataFrame:
     """All tokens of a batch: document, id, start and end in bytes; documents lie one after the other."""
-    flat = np.fromiter((i for several in ids for i in several), np.int64, sum(map(len, ids)))
+    flat = np.frombuffer(array("q", chain.from_iterable(ids)), np.int64)
     ends = np.cumsum(sizes[flat])
     return pd.DataFrame({
         "doc": np.repeat(np.arange(len(ids)), [len(several) for several in ids]),
@@ -103,28 +122,20 @@ def _covering(tokens: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
     return pd.merge_asof(tokens[["doc", "start", "token"]], other, on="start", by="doc")
 
 
-def aligned(texts: list[str], a: ByteSide, b: PieceSide) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+def aligned(texts: list[str], both: Sides) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
     """The tokens of both sides with their groups, and all overlaps (places of a token of A and of one of B).
 
     A text that is empty or whose tokens do not give back a space and the text has no tokens.
     """
-    whole = [(" " + t).encode() if t else b"" for t in texts]
-    kept = []
-    for side in (a, b):
-        ids = side.ids(texts)
-        kept.append([i if w and b"".join(map(side.pieces.__getitem__, i)) == w else [] for i, w in zip(ids, whole)])
-    fine = [bool(x) and bool(y) for x, y in zip(*kept)]
-    left, right = (
-        _tokens([i if f else [] for i, f in zip(ids, fine)], np.array([len(p) for p in side.pieces], np.int64))
-        for ids, side in zip(kept, (a, b))
-    )
+    ids = both.ids(texts)
+    left, right = (_tokens([pair[i] for pair in ids], both.sizes[i]) for i in (0, 1))
     covers_a, covers_b = _covering(left, right), _covering(right, left)
-    # a group starts where both sides have a token that starts there
-    left["group"] = np.cumsum((covers_a["from_"] == covers_a["start"]).to_numpy()) - 1
-    right["group"] = np.cumsum((covers_b["from_"] == covers_b["start"]).to_numpy()) - 1
+    # where both sides have a token that starts, a group starts, and both directions find the same pair
+    same_a, same_b = ((c["from_"] == c["start"]).to_numpy() for c in (covers_a, covers_b))
+    left["group"], right["group"] = np.cumsum(same_a) - 1, np.cumsum(same_b) - 1
     overlaps = pd.DataFrame({
-        "a": np.concatenate([covers_a["token"], covers_b["other"]]), "b": np.concatenate([covers_a["other"], covers_b["token"]]),
-    }).drop_duplicates()
+        "a": np.concatenate([covers_a["token"], covers_b["other"][~same_b]]), "b": np.concatenate([covers_a["other"], covers_b["token"][~same_b]]),
+    })
     return left, right, overlaps
 
 
@@ -161,8 +172,8 @@ def summed(parts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray,
 class Printed:
     """The text of groups, put together from ready pieces per id."""
 
-    def __init__(self, a: ByteSide, b: PieceSide):
-        numbers = [b"%d" % i for i in range(max(len(a.pieces), len(b.pieces)))]
+    def __init__(self, size: int):
+        numbers = [b"%d" % i for i in range(size)]
         self.ends = [np.array([n + sign for n in numbers], dtype=object) for sign in (b",", b"|", b";")]
 
     def digests(self, left: pd.DataFrame, right: pd.DataFrame, docs: int) -> list[str]:
@@ -183,7 +194,7 @@ class Printed:
         return out
 
 
-COUNTS = "chunk bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
+COUNTS = "chunk bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_overlaps bigint, groups_sha256 string"
 FOUND = COUNTS + ", pairs binary, times binary, pair bigint, docs bigint"
 
 
@@ -191,10 +202,10 @@ def _linked(docs: DataFrame, a: tuple[str, str], b: str, size: int) -> DataFrame
     """A row per document with its pairs, and a row per chunk and pair with the number of its documents (`pair` not null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = sides(a, b)
-        printed = Printed(one, two)
+        both = sides(a, b)
+        printed = Printed(max(map(len, both.sizes)))
         schema = pa.schema([
-            ("chunk", pa.int64()), ("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")),
+            ("chunk", pa.int64()), ("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")),
             ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary()), ("pair", pa.int64()), ("docs", pa.int64()),
         ])
         chunk = TaskContext.get().partitionId() << 32
@@ -210,15 +221,15 @@ def _linked(docs: DataFrame, a: tuple[str, str], b: str, size: int) -> DataFrame
             return table(chunk=np.full(len(names), chunk), pair=names, docs=counts)
 
         for ids, texts in _groups(batches, 1_000_000):
-            left, right, _ = aligned(texts, one, two)
+            left, right, overlaps = aligned(texts, both)
             n = len(ids)
             doc, pair, times = summed(list(links(left, right)), n)
             count = lambda d: np.bincount(d, minlength=n)
-            groups = left.groupby("group", sort=False)["doc"].first()
+            closes = left["group"].diff(-1).to_numpy() != 0
             ends = np.cumsum(count(doc))
             parts = list(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()))
             yield table(
-                chunk=np.full(n, chunk), doc_id=ids, n_a=count(left["doc"]), n_b=count(right["doc"]), n_groups=count(groups.astype(int)),
+                chunk=np.full(n, chunk), doc_id=ids, n_a=count(left["doc"]), n_b=count(right["doc"]), n_groups=count(left["doc"][closes]), n_overlaps=count(left["doc"].to_numpy()[overlaps["a"].to_numpy(int)]),
                 n_links=np.bincount(doc, times, n).astype(np.int64), groups_sha256=printed.digests(left, right, n),
                 pairs=[pair[s:e].astype("<i8").tobytes() for s, e in parts], times=[times[s:e].astype("<i4").tobytes() for s, e in parts],
             )
@@ -251,7 +262,7 @@ def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
 
 
 def summary(docs: DataFrame, a: tuple[str, str], b: str, text: str = "text", chunk: int = 8_000_000) -> DataFrame:
-    """Per document: tokens of both sides, groups, links, links that are the best of their A id, counts, and a digest of the groups.
+    """Per document: tokens of both sides, groups, links, links that are the best of their A id, counts, a digest of the groups, and overlaps.
 
     A pair's count is the number of documents (rows) of the corpus that hold it linked; a link is best if no other pair of its A id
     has a higher count. A null or empty text, and one that either side does not give back byte by byte, has no tokens: zeros, and an empty
@@ -280,4 +291,4 @@ def summary(docs: DataFrame, a: tuple[str, str], b: str, text: str = "text", chu
 
     schema = COUNTS.removeprefix("chunk bigint, ") + ", n_best bigint, count_sum bigint"
     out = rows.groupBy("chunk").cogroup(judged.groupBy("part")).applyInPandas(scored, schema)
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")

@@ -143,23 +143,23 @@ def test_alignment_counts_as_brute_force(spark):
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     for chunk in (100, 8_000_000):
         found = alignment.summary(docs, BYTE_VOCABULARY, PIECE_VOCABULARY, chunk=chunk)
-        assert sorted(map(tuple, found.collect()), key=str) == brute_alignment([r[:2] for r in rows])
+        assert sorted((tuple(r)[:8] for r in found.collect()), key=str) == brute_alignment([r[:2] for r in rows])
     assert alignment.summary(spark.createDataFrame([], DOCS), BYTE_VOCABULARY, PIECE_VOCABULARY).collect() == []
 
 
 def test_overlaps_are_the_pairs_that_share_a_byte():
-    left, right, overlaps = alignment.aligned(["Unfathomable words, 12345 naïve\n\nend", "", "x▁y"], *alignment.sides(BYTE_VOCABULARY, PIECE_VOCABULARY))
+    left, right, overlaps = alignment.aligned(["Unfathomable words, 12345 naïve\n\nend", "", "x▁y"], alignment.sides(BYTE_VOCABULARY, PIECE_VOCABULARY))
     shared = {
         (i, j) for i, (d, s, e) in enumerate(zip(left["doc"], left["start"], left["end"]))
         for j, (f, t, u) in enumerate(zip(right["doc"], right["start"], right["end"])) if d == f and s < u and t < e
     }
-    assert set(map(tuple, overlaps.to_numpy().tolist())) == shared and len(shared) > 5
+    assert sorted(map(tuple, overlaps.to_numpy().tolist())) == sorted(shared) and len(shared) > 5
     assert set(left["doc"]) == {0}
 
 
 def test_groups_of_very_many_pairs_are_counted_by_distinct_ids(monkeypatch):
     both = alignment.sides(BYTE_VOCABULARY, PIECE_VOCABULARY)
-    left, right, _ = alignment.aligned(odd_texts()[4:], *both)
+    left, right, _ = alignment.aligned(odd_texts()[4:], both)
     want = alignment.summed(list(alignment.links(left, right)), 1)
     monkeypatch.setattr(alignment, "MANY", 1)
     assert all((x == y).all() for x, y in zip(alignment.summed(list(alignment.links(left, right)), 1), want))
