@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,17 +28,48 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Names of the folders that `stored` has written; `dropped` deletes no other.
+_written: set[str] = set()
+
+
 def stored(df: DataFrame, name: str, by: str | None = None, compression: str = "gzip") -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage ends there and survives lost executors.
 
     `by` names a column of few values whose rows go to folders of their own.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    name = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}"
+    _written.add(name)
     writer = df.write.option("compression", compression)
     (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete what `stored` wrote, once nothing reads it any more: all that was made from it is stored itself."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files:
+        context = spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0])
+        while folder is not None and folder.getName() not in _written:
+            folder = folder.getParent()
+        if folder is not None:
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside are deleted as soon as it is written, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _shipped: set[str] = set()
 
 

@@ -7,14 +7,15 @@ are counted side by side. Once no phrase is left that has not completed its cycl
 
 Which phrases are active is told to tasks by a table of fixed size: a cell, chosen by a phrase's hash, holds the scan after which
 a phrase of that cell reached the threshold. Phrases that share a cell may start others too early; these see each shard
-once all the same, so counts stay exact, and whatever misses the threshold is dropped. Counts are kept by the phrases themselves.
+once all the same, so counts stay exact, and whatever misses the threshold is dropped. Counts are kept by 128-bit digests of
+language and words; one last scan fetches the texts of the phrases that are left.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabassay.llm.common import ship, stored
+from tabassay.llm.common import dropped, ship, shuffles_dropped, stored
 
 LONGEST = 5
 #: Upper to lower case for A-Z, marks that end a piece to a byte that no text holds, tab to space.
@@ -30,6 +31,8 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(255 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BREAK = b" \xff "
 NEVER = 255
+#: Odd factors that make a phrase's two hashes depend on the order of its words.
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Copies of the table of counts when parts are looked up, so that a word at the start of very many phrases is spread.
 SALTS = 16
 
@@ -46,10 +49,6 @@ def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return names, np.where(codes == ends, -1, codes)
 
 
-def hashes(names: list[bytes]) -> np.ndarray:
-    return pd.util.hash_array(np.array([*names, b""], dtype=object), categorize=False)[:-1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread hashes over all bits (the finish of a splitting generator)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -57,111 +56,134 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grouped(marks: np.ndarray, codes: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct phrase among the places `at`, and how often it occurs.
+def hashes(names: list[bytes], lang: bytes) -> list[np.ndarray]:
+    """Two independent hashes of each word, other ones in each language."""
+    both = []
+    for key in ("phrases of words", "words of phrases"):
+        table = pd.util.hash_array(np.array([*names, lang, b""], dtype=object), hash_key=key, categorize=False)
+        both.append(mixed(table[:-2] + table[-2]))
+    return both
 
-    Places are put in order of the phrases' hashes; that neighbours of equal hash are equal phrases is checked word by word.
-    """
-    order = np.argsort(marks)
-    at, marks = at[order], marks[order]
-    same = marks[1:] == marks[:-1]
-    for i in range(length):
-        word = codes[at + i]
-        if (same & (word[1:] != word[:-1])).any():  # two phrases of one hash
-            _, first, counts = np.unique(codes[at[:, None] + np.arange(length)], axis=0, return_index=True, return_counts=True)
-            return at[first], counts
-    starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
-    return at[starts], np.diff(np.append(starts, len(at)))
-
-
-def counted(texts: list[bytes], lang: bytes, scan: int, cycle: int, cells: np.ndarray, longest: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """For each length: the phrases that this scan has to count in texts of one language, their cells and counts."""
-    names, codes = split_words(texts)
+
+class Level(NamedTuple):
+    """The places of a text that may hold an active phrase of one length, the scan each started at, and its digest."""
+
+    length: int
+    at: np.ndarray
+    start: np.ndarray
+    digest: list[np.ndarray]
+
+
+def levels(names: list[bytes], codes: np.ndarray, lang: bytes, scan: int, cells: np.ndarray, longest: int) -> Iterator[Level]:
+    """Words, then phrases whose two subphrases have both reached the threshold before this scan."""
     at = np.flatnonzero(codes >= 0)
     if not len(at):
         return
-    mask = np.uint64(len(cells) - 1)
-    cell_of = lambda marks: (mixed(marks) & mask).astype(np.int64)
     with np.errstate(over="ignore"):
-        word = mixed(hashes(names) + hashes([lang]))
-    times = np.bincount(codes[at], minlength=len(names))
-    if scan < cycle:
-        used = np.flatnonzero(times)
-        yield [names[i] for i in used], cell_of(word[used]), times[used]
-    single = word[codes]  # any value between pieces
-    mark, age = single[at], cells[cell_of(word)][codes[at]]
-    for length in range(2, longest + 1):
-        # a place goes on if the phrase there and the one a word later are both frequent
-        ages = np.full(len(codes) + 1, NEVER, np.uint8)
-        ages[at] = age
-        start = np.maximum(age, ages[at + 1])
-        going = start <= scan
-        at, start = at[going], start[going]
-        if not len(at):
-            return
-        with np.errstate(over="ignore"):
-            mark = mark[going] * np.uint64(0x9E3779B97F4A7C15) + single[at + length - 1]
-        place = cell_of(mark)
-        now = scan < start.astype(int) + cycle
-        if now.any():
-            first, counts = grouped(mark[now], codes, at[now], length)
-            where = np.searchsorted(at, first)
-            parts = zip(*(map(names.__getitem__, codes[first + i].tolist()) for i in range(length)))
-            yield list(map(b" ".join, parts)), place[where], counts
-        age = cells[place]
-
-
-def dealt(docs: DataFrame, shards: int, text: str, lang: str) -> list[DataFrame]:
-    """The shards: rows of every task go to them by turns."""
+        single = [h[codes] for h in hashes(names, lang)]  # any value between pieces
+        marks = [h[at] for h in single]
+        digest = [mixed(m) for m in marks]
+        start = np.zeros(len(at), np.uint8)
+        yield Level(1, at, start, digest)
+        for length in range(2, longest + 1):
+            ages = np.full(len(codes) + 1, NEVER, np.uint8)
+            # a cell may be set by another phrase, before this one has started
+            ages[at] = age = np.maximum(cells[place(digest[0], cells)], start)
+            start = np.maximum(age, ages[at + 1])
+            going = start <= scan
+            at, start = at[going], start[going]
+            if not len(at):
+                return
+            marks = [m[going] * np.uint64(f) + h[at + length - 1] for m, h, f in zip(marks, single, FACTORS)]
+            digest = [mixed(m) for m in marks]
+            yield Level(length, at, start, digest)
+
+
+def place(digest: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (digest & np.uint64(len(cells) - 1)).astype(np.int64)
+
+
+def counted(texts: list[bytes], lang: bytes, scan: int, cycle: int, cells: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each length: digests, starts and counts of the phrases that this scan has to count in texts of one language."""
+    names, codes = split_words(texts)
+    for level in levels(names, codes, lang, scan, cells, longest):
+        now = np.flatnonzero(scan < level.start.astype(int) + cycle)
+        if len(now):
+            first, counts = grouped([d[now] for d in level.digest])
+            first = now[first]
+            yield *(d[first].view(np.int64) for d in level.digest), level.start[first].astype(np.int16), counts
+
+
+def named(texts: list[bytes], lang: bytes, cells: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, list[bytes]]]:
+    """For each length: digests and texts of the phrases whose cells are set."""
+    names, codes = split_words(texts)
+    for level in levels(names, codes, lang, NEVER - 1, cells, longest):
+        held = np.flatnonzero(cells[place(level.digest[0], cells)] != NEVER)
+        if len(held):
+            first = held[grouped([d[held] for d in level.digest])[0]]
+            at = level.at[first]
+            words = zip(*(map(names.__getitem__, codes[at + i].tolist()) for i in range(level.length)))
+            yield *(d[first].view(np.int64) for d in level.digest), level.length, list(map(b" ".join, words))
+
+
+def grouped(digest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the first of each run of equal digests, and the run's length."""
+    order = np.argsort(digest[0])
+    one, two = (d[order] for d in digest)
+    other = np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+    if (np.diff(one[other]) == 0).any():  # two phrases of one first half
+        order = np.lexsort(digest)
+        one, two = (d[order] for d in digest)
+        other = np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+    starts = np.concatenate([[0], other + 1])
+    return order[starts], np.diff(np.append(starts, len(order)))
+
+
+def by_language(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[tuple[str, list[bytes]]]:
+    """Texts of one language, of about `size` bytes together with those of other languages."""
+    waiting: dict[str, list[bytes]] = {}
+    held = 0
+    for rows in batches:
+        for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            waiting.setdefault(lang, []).append(text)
+            held += len(text)
+            if held >= size:
+                yield from waiting.items()
+                waiting, held = {}, 0
+    yield from waiting.items()
+
+
+def dealt(docs: DataFrame, shards: int, text: str, lang: str) -> DataFrame:
+    """lang, text and shard, stored; rows of every task go to the shards by turns."""
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
     rows = rows.where(F.length("text") > 0).withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    rows = stored(rows, "shards", by="shard", compression="snappy")
-    return [rows.where(F.col("shard") == i).drop("shard") for i in range(shards)]
+    return stored(rows, "shards", by="shard", compression="snappy")
 
 
-def scanned(shard: DataFrame, scan: int, cycle: int, cells: np.ndarray, longest: int, batch: int = 8_000_000) -> DataFrame:
-    """lang, length, phrase, cell, n of the phrases that one scan counts in one shard, stored. The cells travel compressed."""
+def scanned(shard: DataFrame, state: DataFrame | None, scan: int, cycle: int, cells: np.ndarray, longest: int) -> DataFrame:
+    """h1, h2, start, n: the state of counts with what one scan counts in one shard. The cells travel compressed."""
     held = shard.sparkSession.sparkContext.broadcast(zlib.compress(cells.tobytes(), 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active = np.frombuffer(zlib.decompress(held.value), np.uint8)
-        waiting: dict[str, list[bytes]] = {}
-        size = 0
-
-        def taken() -> Iterator[pa.RecordBatch]:
-            for lang, texts in waiting.items():
-                for phrases, cell, n in counted(texts, lang.encode(), scan, cycle, active, longest):
-                    length = phrases[0].count(b" ") + 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(lang, len(n)), pa.repeat(pa.scalar(length, pa.int32()), len(n)), pa.array(phrases, pa.binary()), pa.array(cell), pa.array(n)],
-                        ["lang", "length", "phrase", "cell", "n"],
-                    )
-            waiting.clear()
-
-        for rows in batches:
-            for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                waiting.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= batch:
-                    yield from taken()
-                    size = 0
-        yield from taken()
-
-    found = shard.mapInArrow(count, "lang string, length int, phrase binary, cell bigint, n bigint")
-    found = found.groupBy("lang", "length", F.col("phrase").cast("string").alias("phrase"))
-    counts = stored(found.agg(F.max("cell").alias("cell"), F.sum("n").alias("n")), f"scan-{scan}")
+        for lang, texts in by_language(batches):
+            for columns in counted(texts, lang.encode(), scan, cycle, active, longest):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "start", "n"])
+
+    found = shard.select("lang", "text").mapInArrow(count, "h1 bigint, h2 bigint, start smallint, n bigint")
+    found = found if state is None else found.unionAll(state)
+    with shuffles_dropped(shard.sparkSession):
+        counts = stored(found.groupBy("h1", "h2").agg(F.max("start").alias("start"), F.sum("n").alias("n")), f"scan-{scan}", compression="snappy")
     held.destroy()
     return counts
 
 
-def reached(tables: list[DataFrame], least: int, longest: int, cells: int) -> np.ndarray:
-    """Cells of the phrases that have reached the threshold by the given scans; the driver gets bitmaps of `cells` bits in all."""
-    counts = reduce(DataFrame.unionAll, tables).where(F.col("length") < longest)
-    counts = counts.groupBy("lang", "length", "phrase").agg(F.max("cell").alias("cell"), F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.col("cell") + 1  # buckets of bitmaps start with 1
-    maps = counts.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+def reached(counts: DataFrame, least: int, cells: int) -> np.ndarray:
+    """Cells of the phrases that have reached the threshold; the driver gets bitmaps of `cells` bits in all."""
+    cell = F.col("h1").bitwiseAND(F.lit(cells - 1)) + 1  # buckets of bitmaps start with 1
+    maps = counts.where(F.col("n") >= least).select(cell.alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket"))
     found = np.zeros(cells, bool)
-    for r in maps.collect():
+    for r in maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect():
         bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
         start = (r["bucket"] - 1) * 32_768
         found[start : start + len(bits)] |= bits[: cells - start].astype(bool)
@@ -169,27 +191,55 @@ def reached(tables: list[DataFrame], least: int, longest: int, cells: int) -> np
 
 
 def frequent(
-    docs: DataFrame, least: int = 100, longest: int = LONGEST, shards: int = 4, cell_bits: int = 24, text: str = "text", lang: str = "lang"
+    docs: DataFrame, least: int = 100, longest: int = LONGEST, shards: int = 2, cell_bits: int = 24, text: str = "text", lang: str = "lang"
 ) -> tuple[DataFrame, DataFrame]:
     """lang, length, phrase, a: all phrases of 1 to `longest` words that occur `least` times or more; and lang, n: all words.
 
-    Both tables are stored. `cell_bits` bounds what tasks are told (a byte a cell); it changes how much is counted in vain only.
+    Both tables are stored. Counts are kept by digests of 128 bits, the texts of the frequent ones are fetched by one more scan.
+    `cell_bits` bounds what tasks are told (a byte a cell); it changes how much is counted in vain only.
     """
     ship(docs.sparkSession)
-    tables, parts = [], dealt(docs, shards, text, lang)
+    rows, state = dealt(docs, shards, text, lang), None
     cells = np.full(1 << cell_bits, NEVER, np.uint8)
     scan, until = 0, shards
     while scan < until:
-        tables.append(scanned(parts[scan % shards], scan, shards, cells, longest))
-        # a phrase whose cycle ends with this scan was counted in the last `shards` scans and in no others
-        new = reached(tables[-shards:], least, longest, len(cells)) & (cells == NEVER)
+        earlier = state
+        # what has completed its cycle below the threshold is not carried on
+        live = state and state.where((F.col("start") + shards > scan) | (F.col("n") >= least))
+        state = scanned(rows.where(F.col("shard") == scan % shards), live, scan, shards, cells, longest)
+        if earlier:
+            dropped(earlier)
+        new = reached(state, least, len(cells)) & (cells == NEVER)
         scan += 1
         if new.any():
             cells[new] = scan
             until = scan + shards
-    counts = reduce(DataFrame.unionAll, tables).groupBy("lang", "length", "phrase").agg(F.sum("n").alias("a"))
-    totals = reduce(DataFrame.unionAll, tables[:shards]).where("length = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    return stored(counts.where(F.col("a") >= least), "phrases"), stored(totals, "words")
+    held = docs.sparkSession.sparkContext.broadcast(zlib.compress(cells.tobytes(), 1))
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        active = np.frombuffer(zlib.decompress(held.value), np.uint8)
+        names = ["lang", "h1", "h2", "length", "phrase", "words"]
+        for language, texts in by_language(batches):
+            words = int((split_words(texts)[1] >= 0).sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([language]), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array([words])], names
+            )
+            for h1, h2, length, phrases in named(texts, language.encode(), active, longest):
+                n = len(phrases)
+                columns = [pa.repeat(language, n), pa.array(h1), pa.array(h2), pa.repeat(pa.scalar(length, pa.int32()), n)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(phrases, pa.binary()), pa.nulls(n, pa.int64())], names)
+
+    found = rows.select("lang", "text").mapInArrow(texts_of, "lang string, h1 bigint, h2 bigint, length int, phrase binary, words bigint")
+    # one row per phrase and one per language
+    found = found.groupBy("lang", "h1", "h2").agg(F.max("length").alias("length"), F.max("phrase").cast("string").alias("phrase"), F.sum("words").alias("n"))
+    with shuffles_dropped(docs.sparkSession):
+        found = stored(found, "texts", compression="snappy")
+    counts = found.where("h1 is not null").join(state.where(F.col("n") >= least).select("h1", "h2", F.col("n").alias("a")), ["h1", "h2"])
+    counts = stored(counts.select("lang", "length", "phrase", "a"), "phrases")
+    totals = stored(found.where("h1 is null").select("lang", "n"), "words")
+    for table in (state, found, rows):
+        dropped(table)
+    return counts, totals
 
 
 def collocations(

@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tabassay.llm import alignment, phrases, products
+from tabassay.llm import alignment, common, phrases, products
 from tabassay.llm.bpe import byte_letters
 from tabassay.llm.queries import BYTE_VOCABULARY, PIECE_VOCABULARY
 
@@ -201,7 +202,7 @@ def corpus(seed=4):
     return [(i, t, lang, "s", 1, "clash", "clash", "clash", "clash") for i, t, lang in rows]
 
 
-@pytest.mark.parametrize("options", [{"shards": 3}, {"shards": 1, "cell_bits": 5}])
+@pytest.mark.parametrize("options", [{"shards": 3}, {"shards": 1, "cell_bits": 5}, {"cell_bits": 7}])
 def test_collocations_count_as_brute_force(spark, options):
     rows = corpus()
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
@@ -222,8 +223,15 @@ def test_scores_pass_64_bits(spark):
     assert row["score"] == 1000 * a * n // (left * right)
 
 
-def test_phrases_of_one_hash_are_told_apart():
-    codes = np.array([0, 1, 2, 1, 0, 1, -1])
-    at = np.array([0, 1, 2, 3, 4])
-    first, counts = phrases.grouped(np.zeros(5, np.uint64), codes, at, 2)
-    assert {tuple(codes[i : i + 2]): n for i, n in zip(first, counts)} == {(0, 1): 2, (1, 2): 1, (2, 1): 1, (1, 0): 1}
+def test_phrases_of_one_half_of_a_digest_are_told_apart():
+    one, two = np.zeros(5, np.uint64), np.array([7, 8, 7, 9, 7], np.uint64)
+    first, counts = phrases.grouped([one, two])
+    assert {int(two[i]): n for i, n in zip(first, counts)} == {7: 3, 8: 1, 9: 1}
+
+
+def test_what_is_dropped_is_gone_and_nothing_else(spark):
+    first, second = (common.stored(spark.range(3), "trial") for _ in range(2))
+    path = Path(first.inputFiles()[0].removeprefix("file://")).parent
+    common.dropped(first)
+    common.dropped(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+    assert not path.exists() and path.parent.exists() and second.count() == 3
