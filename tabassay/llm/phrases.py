@@ -7,7 +7,7 @@ are counted side by side. Once no phrase is left that has not completed its cycl
 
 Which phrases are active is told to tasks by a table of fixed size: a cell, chosen by a phrase's hash, holds the scan after which
 a phrase of that cell reached the threshold. Phrases that share a cell may start others too early; these see each shard
-once all the same, so counts stay exact, and whatever misses the threshold is dropped. Counts are kept by 128-bit digests of
+once all the same, so counts stay exact, and whatever misses the threshold is dropped. Counts are kept by 96-bit digests of
 language and words; one last scan fetches the texts of the phrases that are left.
 """
 
@@ -29,7 +29,11 @@ LONGEST = 5
 #: Upper to lower case for A-Z, marks that end a piece to a byte that no text holds, tab to space.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(255 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-BREAK = b" \xff "
+BREAK, NEXT = b" \xff ", b" \xfe "
+#: Texts belong to one of so many blocks by their hash. A phrase's text is fetched from one block that holds it.
+BLOCKS = 1024
+#: The owner of a cell that several phrases share: every block.
+ANY = BLOCKS
 NEVER = 255
 #: Odd factors that make a phrase's two hashes depend on the order of its words.
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -37,16 +41,16 @@ FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SALTS = 16
 
 
-def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of texts and the place of each word in them, with -1 between pieces and texts.
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, the place of each word in them (-1 between pieces and texts), and the text each belongs to.
 
     White space but tab and space ends pieces or belongs to words, so what bytes.split() splits at beyond these two is gone already.
     """
-    words = BREAK.join(t.translate(TABLE) for t in texts).replace(b"\xff", BREAK).split()
+    words = NEXT.join(t.translate(TABLE) for t in texts).replace(b"\xff", BREAK).split()
     coded = pa.array(words, pa.binary()).dictionary_encode()
     codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    ends = names.index(b"\xff") if b"\xff" in names else -2
-    return names, np.where(codes == ends, -1, codes)
+    ends, following = (names.index(mark) if mark in names else -2 for mark in (BREAK.strip(), NEXT.strip()))
+    return names, np.where((codes == ends) | (codes == following), -1, codes), np.cumsum(codes == following)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,7 +86,7 @@ def levels(names: list[bytes], codes: np.ndarray, lang: bytes, scan: int, cells:
     with np.errstate(over="ignore"):
         single = [h[codes] for h in hashes(names, lang)]  # any value between pieces
         marks = [h[at] for h in single]
-        digest = [mixed(m) for m in marks]
+        digest = kept(marks)
         start = np.zeros(len(at), np.uint8)
         yield Level(1, at, start, digest)
         for length in range(2, longest + 1):
@@ -95,35 +99,45 @@ def levels(names: list[bytes], codes: np.ndarray, lang: bytes, scan: int, cells:
             if not len(at):
                 return
             marks = [m[going] * np.uint64(f) + h[at + length - 1] for m, h, f in zip(marks, single, FACTORS)]
-            digest = [mixed(m) for m in marks]
+            digest = kept(marks)
             yield Level(length, at, start, digest)
 
 
+def kept(marks: list[np.ndarray]) -> list[np.ndarray]:
+    """A digest of 64 and 32 bits."""
+    return [mixed(marks[0]), mixed(marks[1]) & np.uint64(0xFFFFFFFF)]
+
+
 def place(digest: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (digest & np.uint64(len(cells) - 1)).astype(np.int64)
 
 
-def counted(texts: list[bytes], lang: bytes, scan: int, cycle: int, cells: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each length: digests, starts and counts of the phrases that this scan has to count in texts of one language."""
-    names, codes = split_words(texts)
+def counted(texts: list[bytes], blocks: np.ndarray, lang: bytes, scan: int, cycle: int, cells: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each length: digests, starts with a block, and counts of the phrases that this scan has to count in texts of one language."""
+    names, codes, of_text = split_words(texts)
     for level in levels(names, codes, lang, scan, cells, longest):
         now = np.flatnonzero(scan < level.start.astype(int) + cycle)
         if len(now):
             first, counts = grouped([d[now] for d in level.digest])
             first = now[first]
-            yield *(d[first].view(np.int64) for d in level.digest), level.start[first].astype(np.int16), counts
-
-
-def named(texts: list[bytes], lang: bytes, cells: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, list[bytes]]]:
-    """For each length: digests and texts of the phrases whose cells are set."""
-    names, codes = split_words(texts)
-    for level in levels(names, codes, lang, NEVER - 1, cells, longest):
-        held = np.flatnonzero(cells[place(level.digest[0], cells)] != NEVER)
+            seen = level.start[first].astype(np.int32) << 16 | blocks[of_text[level.at[first]]]
+            yield level.digest[0][first].view(np.int64), level.digest[1][first].astype(np.uint32).view(np.int32), seen, counts
+
+
+def named(texts: list[bytes], blocks: np.ndarray, lang: bytes, owners: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """For each length: digests and texts of the phrases whose cells belong to the block of a text that holds them; length 0 has the words."""
+    names, codes, of_text = split_words(texts)
+    yield 0, np.zeros(1, np.int64), np.zeros(1, np.int32), [b"%d" % (codes >= 0).sum()]
+    cells = np.where(owners < 0, NEVER, 0).astype(np.uint8)
+    for level in levels(names, codes, lang, 0, cells, longest):
+        owner = owners[place(level.digest[0], cells)]
+        held = np.flatnonzero((owner == ANY) | (owner == blocks[of_text[level.at]]))
         if len(held):
             first = held[grouped([d[held] for d in level.digest])[0]]
             at = level.at[first]
             words = zip(*(map(names.__getitem__, codes[at + i].tolist()) for i in range(level.length)))
-            yield *(d[first].view(np.int64) for d in level.digest), level.length, list(map(b" ".join, words))
+            digest = level.digest[0][first].view(np.int64), level.digest[1][first].astype(np.uint32).view(np.int32)
+            yield level.length, *digest, list(map(b" ".join, words))
 
 
 def grouped(digest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,41 +153,48 @@ def grouped(digest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[starts], np.diff(np.append(starts, len(order)))
 
 
-def by_language(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[tuple[str, list[bytes]]]:
-    """Texts of one language, of about `size` bytes together with those of other languages."""
-    waiting: dict[str, list[bytes]] = {}
+def by_language(batches: Iterator[pa.RecordBatch], size: int = 5_000_000) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """Texts of one language and their blocks, of about `size` bytes together with those of other languages."""
+    waiting: dict[str, tuple[list[bytes], list[int]]] = {}
     held = 0
     for rows in batches:
-        for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-            waiting.setdefault(lang, []).append(text)
+        for lang, text, block in zip(*(rows.column(i).to_pylist() for i in range(3))):
+            texts, blocks = waiting.setdefault(lang, ([], []))
+            texts.append(text)
+            blocks.append(block)
             held += len(text)
             if held >= size:
-                yield from waiting.items()
+                yield from ((name, t, np.array(b, np.int32)) for name, (t, b) in waiting.items())
                 waiting, held = {}, 0
-    yield from waiting.items()
+    yield from ((name, t, np.array(b, np.int32)) for name, (t, b) in waiting.items())
 
 
 def dealt(docs: DataFrame, shards: int, text: str, lang: str) -> DataFrame:
-    """lang, text and shard, stored; rows of every task go to the shards by turns."""
+    """lang, text, block and shard: rows go to blocks and shards by the hash of the text, so every scan sees the same ones."""
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
-    rows = rows.where(F.length("text") > 0).withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    return stored(rows, "shards", by="shard", compression="snappy")
+    mark = F.xxhash64("text")
+    block, shard = F.pmod(mark, F.lit(BLOCKS)).cast("int"), F.pmod(F.shiftright(mark, 10), F.lit(shards)).cast("int")
+    return rows.where(F.length("text") > 0).select("lang", "text", block.alias("block"), shard.alias("shard"))
+
 
+def scanned(shard: DataFrame, state: DataFrame | None, scan: int, cycle: int, cells: np.ndarray, longest: int, least: int) -> DataFrame:
+    """h1, h2, seen, n: the state of counts with what one scan counts in one shard. The cells travel compressed.
 
-def scanned(shard: DataFrame, state: DataFrame | None, scan: int, cycle: int, cells: np.ndarray, longest: int) -> DataFrame:
-    """h1, h2, start, n: the state of counts with what one scan counts in one shard. The cells travel compressed."""
+    `seen` holds the scan that a phrase started at, and a block. What has ended its cycle below the threshold is left out.
+    """
     held = shard.sparkSession.sparkContext.broadcast(zlib.compress(cells.tobytes(), 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active = np.frombuffer(zlib.decompress(held.value), np.uint8)
-        for lang, texts in by_language(batches):
-            for columns in counted(texts, lang.encode(), scan, cycle, active, longest):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "start", "n"])
+        for lang, texts, blocks in by_language(batches):
+            for columns in counted(texts, blocks, lang.encode(), scan, cycle, active, longest):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "seen", "n"])
 
-    found = shard.select("lang", "text").mapInArrow(count, "h1 bigint, h2 bigint, start smallint, n bigint")
-    found = found if state is None else found.unionAll(state)
+    found = shard.select("lang", "text", "block").mapInArrow(count, "h1 bigint, h2 int, seen int, n bigint")
+    found = (found if state is None else found.unionAll(state)).groupBy("h1", "h2").agg(F.max("seen").alias("seen"), F.sum("n").alias("n"))
+    going = F.shiftright("seen", 16) + cycle - 1 > scan
     with shuffles_dropped(shard.sparkSession):
-        counts = stored(found.groupBy("h1", "h2").agg(F.max("start").alias("start"), F.sum("n").alias("n")), f"scan-{scan}", compression="snappy")
+        counts = stored(found.where(going | (F.col("n") >= least)), f"scan-{scan}", compression="snappy")
     held.destroy()
     return counts
 
@@ -190,13 +211,24 @@ def reached(counts: DataFrame, least: int, cells: int) -> np.ndarray:
     return found
 
 
+def owners(counts: DataFrame, least: int, cells: int) -> np.ndarray:
+    """For each cell the block that has to name its phrase, `ANY` if it has several, -1 if none; the driver gets a row per cell at most."""
+    cell = F.col("h1").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
+    block = F.when(F.count("*") > 1, ANY).otherwise(F.max(F.col("seen").bitwiseAND(F.lit(BLOCKS - 1)))).cast("smallint")
+    table = counts.where(F.col("n") >= least).groupBy(cell).agg(block.alias("block")).toArrow()
+    found = np.full(cells, -1, np.int16)
+    found[table["cell"].to_numpy()] = table["block"].to_numpy()
+    return found
+
+
 def frequent(
     docs: DataFrame, least: int = 100, longest: int = LONGEST, shards: int = 2, cell_bits: int = 24, text: str = "text", lang: str = "lang"
 ) -> tuple[DataFrame, DataFrame]:
     """lang, length, phrase, a: all phrases of 1 to `longest` words that occur `least` times or more; and lang, n: all words.
 
-    Both tables are stored. Counts are kept by digests of 128 bits, the texts of the frequent ones are fetched by one more scan.
-    `cell_bits` bounds what tasks are told (a byte a cell); it changes how much is counted in vain only.
+    Both tables are stored. `docs` is read once a scan, so store it first if it is dear to compute. Counts are kept by digests of 96 bits
+    (with ten million million different phrases, two of them share one with a chance below a thousandth); texts of the frequent
+    ones are fetched by one more scan. `cell_bits` bounds what tasks are told; it changes how much is counted in vain only.
     """
     ship(docs.sparkSession)
     rows, state = dealt(docs, shards, text, lang), None
@@ -204,40 +236,32 @@ def frequent(
     scan, until = 0, shards
     while scan < until:
         earlier = state
-        # what has completed its cycle below the threshold is not carried on
-        live = state and state.where((F.col("start") + shards > scan) | (F.col("n") >= least))
-        state = scanned(rows.where(F.col("shard") == scan % shards), live, scan, shards, cells, longest)
+        state = scanned(rows.where(F.col("shard") == scan % shards), state, scan, shards, cells, longest, least)
         if earlier:
             dropped(earlier)
         new = reached(state, least, len(cells)) & (cells == NEVER)
         scan += 1
         if new.any():
             cells[new] = scan
-            until = scan + shards
-    held = docs.sparkSession.sparkContext.broadcast(zlib.compress(cells.tobytes(), 1))
+            until = min(scan + shards, longest * shards)  # by then the longest have completed their cycles
+    named_by = owners(state, least, len(cells))
+    held = docs.sparkSession.sparkContext.broadcast(zlib.compress(named_by.tobytes(), 1))
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = np.frombuffer(zlib.decompress(held.value), np.uint8)
-        names = ["lang", "h1", "h2", "length", "phrase", "words"]
-        for language, texts in by_language(batches):
-            words = int((split_words(texts)[1] >= 0).sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([language]), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array([words])], names
-            )
-            for h1, h2, length, phrases in named(texts, language.encode(), active, longest):
+        own = np.frombuffer(zlib.decompress(held.value), np.int16)
+        for language, texts, blocks in by_language(batches):
+            for length, h1, h2, phrases in named(texts, blocks, language.encode(), own, longest):
                 n = len(phrases)
-                columns = [pa.repeat(language, n), pa.array(h1), pa.array(h2), pa.repeat(pa.scalar(length, pa.int32()), n)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(phrases, pa.binary()), pa.nulls(n, pa.int64())], names)
-
-    found = rows.select("lang", "text").mapInArrow(texts_of, "lang string, h1 bigint, h2 bigint, length int, phrase binary, words bigint")
-    # one row per phrase and one per language
-    found = found.groupBy("lang", "h1", "h2").agg(F.max("length").alias("length"), F.max("phrase").cast("string").alias("phrase"), F.sum("words").alias("n"))
-    with shuffles_dropped(docs.sparkSession):
-        found = stored(found, "texts", compression="snappy")
-    counts = found.where("h1 is not null").join(state.where(F.col("n") >= least).select("h1", "h2", F.col("n").alias("a")), ["h1", "h2"])
+                columns = [pa.repeat(language, n), pa.array(h1), pa.array(h2), pa.repeat(pa.scalar(length, pa.int32()), n), pa.array(phrases, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "h1", "h2", "length", "phrase"])
+
+    found = rows.select("lang", "text", "block").mapInArrow(texts_of, "lang string, h1 bigint, h2 int, length int, phrase binary")
+    found = stored(found.withColumn("phrase", F.col("phrase").cast("string")), "texts", compression="snappy")
+    totals = stored(found.where("length = 0").groupBy("lang").agg(F.sum(F.col("phrase").cast("bigint")).alias("n")), "words")
+    texts = found.where("length > 0").distinct()
+    counts = texts.join(state.where(F.col("n") >= least).select("h1", "h2", F.col("n").alias("a")), ["h1", "h2"])
     counts = stored(counts.select("lang", "length", "phrase", "a"), "phrases")
-    totals = stored(found.where("h1 is null").select("lang", "n"), "words")
-    for table in (state, found, rows):
+    for table in (state, found):
         dropped(table)
     return counts, totals
 
