@@ -16,15 +16,20 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: `spark.checkpoint.dir`, or a temporary one on a purely local session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: `spark.checkpoint.dir`, or a temporary one on a purely local session.
+
+    The setting belongs to the application and cannot be changed later, so a temporary folder is remembered here.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _folders.get(spark.sparkContext.applicationId)
     if not folder:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tabassay-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tabassay-")
     return folder
 
 

@@ -1,8 +1,11 @@
 """Largest products, token alignment and collocations against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -235,3 +238,17 @@ def test_what_is_dropped_is_gone_and_nothing_else(spark):
     common.dropped(first)
     common.dropped(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
     assert not path.exists() and path.parent.exists() and second.count() == 3
+
+
+def test_tables_are_stored_without_a_configured_folder(tmp_path):
+    """A session of its own process, without any configuration."""
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from tabassay.llm.common import shared_folder, stored\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
+        "assert stored(spark.range(4), 'trial').count() == 4 and shared_folder(spark) == shared_folder(spark)\n"
+    )
+    (tmp_path / "spark-defaults.conf").write_text("")
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+    subprocess.run([sys.executable, "-c", code], env=env, check=True, timeout=300)
