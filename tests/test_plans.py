@@ -94,3 +94,30 @@ def test_samples_of_row_rules_share_one_scan(spark):
 def test_no_python_and_no_cross_join(lines, build):
     plan = build(lines)._jdf.queryExecution().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|EvalPython|MapInArrow|MapInPandas", plan)
+
+
+def shuffled(spark):
+    """Bytes of shuffle written by the application so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_a_profile_shuffles_no_long_text(spark):
+    """Keys of long texts are digests; texts are fetched only for the values that are shown."""
+    rows = spark.range(400).selectExpr("repeat(concat(lpad(id, 4, '0'), ' is a long line of text. '), 4000) AS text", "id % 3 AS few")
+    rows = rows.unionAll(spark.range(60).selectExpr("repeat('the same long line, many times. ', 4000) AS text", "id % 3 AS few"))
+    before = shuffled(spark)
+    plan = executed(ta.profile_table(rows))
+    assert not re.search(r"hashpartitioning\(pos#\d+, w#\d+\S*, r#\d+, t#\d+, \d+\)", plan) and "d#" in plan
+    # the texts have 45 MB; run twice, five of them are fetched, each by each task that has it
+    assert 0 < shuffled(spark) - before < 8_000_000
+    top = ta.profile_table(rows).where("column = 'text'").first()["top_values"]
+    assert [t["n"] for t in top] == [60, 1, 1, 1, 1]
+    assert [t["value"][:40] for t in top] == ["the same long line, many times. the same"] + [
+        f"{i:04d} is a long line of text. {i:04d} is a lo"[:40] for i in range(4)]
+    assert all(len(t["value"]) > 90_000 for t in top)
+
+
+def test_without_long_texts_the_source_is_read_once(spark, lines):
+    plan = executed(ta.profile_table(lines, ["l_shipmode", "l_quantity"]))
+    assert len(re.findall(r"FileScan", plan)) == 1

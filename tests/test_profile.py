@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabassay import (
     column_quality, column_scores, duplicate_rows, effective_score, profile_table, table_score,
 )
+from tabassay.plans import frequency
 from tabassay.plans.slices import Slicing
 
 
@@ -184,3 +185,23 @@ def test_duplicates(spark):
     rows = spark.createDataFrame([(1, None), (1, None), (2, "a"), (1, None), (2, "b")], "a int, b string")
     found = duplicate_rows(rows).first()
     assert (found["total_rows"], found["duplicate_rows"], found["duplicate_pct"]) == (5, 2, 40)
+
+
+LONG = "a line that is longer than what is kept of it, "
+
+
+def test_long_texts_are_profiled_as_short_ones(spark):
+    """Whether a text is keyed by itself or by a digest changes nothing, also among texts of one beginning."""
+    values = [LONG + end for end in ("b", "a", "a", "d", "c", "é", "", "f@g", "Ã©")] + ["b", "a", None, " " * 40 + "12.5", "7" + " " * 40]
+    values += [" " * 40 + "2024-01-31", "x@y.z" + " " * 40]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "half int, v string")
+    for segment_by in ([], ["half"]):
+        by_digest = [r.asDict(True) for r in profile_table(df, segment_by=segment_by).where("column = 'v'").orderBy(segment_by or "column").collect()]
+        before, frequency.SHORT = frequency.SHORT, 10_000
+        try:
+            whole = [r.asDict(True) for r in profile_table(df, segment_by=segment_by).where("column = 'v'").orderBy(segment_by or "column").collect()]
+        finally:
+            frequency.SHORT = before
+        assert by_digest == whole
+    top = profile_table(df).where("column = 'v'").first()["top_values"]
+    assert [t["value"] for t in top][:2] == [LONG + "a", " " * 40 + "12.5"]
