@@ -16,6 +16,7 @@ import tabassay as ta
 from tabassay.functions import cells
 from tabassay.functions import fixed_values as fv
 from tabassay.functions.cells import quoted
+from tabassay.operators import sketches
 
 from . import oracle as o
 from . import views
@@ -284,14 +285,18 @@ def _(spark, sf):
 
 
 @query(
-    "a12_row_sample",
-    "SELECT event_id, user_id, event_type FROM events"
-    " ORDER BY md5(CAST(event_id AS VARCHAR) || '42') LIMIT 1000",
+    "a11_preview_ties",
+    """SELECT coalesce(CAST(user_id AS VARCHAR), '') AS user_id, event_type, CAST(event_id AS VARCHAR) AS event_id
+        FROM events ORDER BY event_type, events.user_id NULLS FIRST, events.event_id LIMIT 200""",
 )
 def _(spark, sf):
-    return ta.row_sample(table(spark, sf, "events"), 1000, ["event_id"]).select(
-        "event_id", "user_id", "event_type"
-    )
+    """A few types of events: nearly all rows tie."""
+    return ta.preview(table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["event_type"], 200)
+
+
+@query("a12_row_sample", "SELECT * FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || '42') LIMIT 1000")
+def _(spark, sf):
+    return ta.row_sample(table(spark, sf, "events"), 1000, ["event_id"])
 
 
 @query(
@@ -306,9 +311,59 @@ def _(spark, sf):
     return ta.column_series(orders(spark, sf), "sales", ["order_key"])
 
 
+@query(
+    "a13_column_series_ties",
+    """SELECT row_number() OVER (ORDER BY l_returnflag, l_orderkey, l_linenumber, l_quantity) AS position,
+        CAST(l_quantity AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text
+        FROM lineitem ORDER BY l_returnflag, l_orderkey, l_linenumber, l_quantity LIMIT 5000""",
+)
+def _(spark, sf):
+    """Three flags order all lines."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return ta.column_series(lines, "l_quantity", ["l_returnflag"])
+
+
 # ---------------------------------------------------------------- B  column profiles
 
 
+SKETCHED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _close(sketched: DataFrame, lines: DataFrame) -> DataFrame:
+    """Exact counts, and whether the estimates are within their stated errors."""
+    values = ", ".join(f"struct('{c}' AS column, CAST({c} AS DOUBLE) AS v)" for c in SKETCHED)
+    ranks = lines.selectExpr(f"inline(array({values}))").join(F.broadcast(sketched.withColumnRenamed("unique_count", "estimate")), "column")
+    within = " AND ".join(
+        f"count_if(v < {q}) <= ({p} + {sketches.RANK_ERROR}) * count(1) AND count_if(v <= {q}) >= ({p} - {sketches.RANK_ERROR}) * count(1)"
+        for q, p in sketches.QUARTILES.items()
+    )
+    return (
+        ranks.groupBy("column", "estimate")
+        .agg(F.count("*").alias("total_count"), F.count_distinct("v").alias("unique_count"), F.expr(f"{within} AS quartiles_close"))
+        .selectExpr("column", "total_count", "unique_count", f"abs(estimate - unique_count) <= {sketches.DISTINCT_ERROR} * unique_count AS distinct_close", "quartiles_close")
+    )
+
+
+SKETCHED_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS total_count, count(DISTINCT {c}) AS unique_count,"
+    f" TRUE AS distinct_close, TRUE AS quartiles_close FROM lineitem" for c in SKETCHED
+)
+
+
+@query("b5_b7_approximate", SKETCHED_SQL)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    return _close(ta.approximate_profile(lines, SKETCHED), lines)
+
+
+@query("b5_b7_approximate_merged", SKETCHED_SQL)
+def _(spark, sf):
+    """Sketches kept per flag and status of a line, merged into sketches of the table."""
+    lines = table(spark, sf, "lineitem")
+    kept = ta.column_sketches(lines, SKETCHED, segment_by=["l_returnflag", "l_linestatus"])
+    return _close(ta.read_sketches(ta.merge_sketches(kept)), lines)
+
+
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:
     """Doubles rounded, everything else as it is."""
     return df.selectExpr(*[

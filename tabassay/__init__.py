@@ -27,6 +27,9 @@ from .operators.rows import column_series, preview, reject_empty, row_sample
 from .operators.scoring import (
     column_quality, column_scores, duplicate_rows, effective_score, table_score,
 )
+from .operators.sketches import (
+    approximate_profile, column_sketches, merge_sketches, read_sketches,
+)
 from .sources.readers import (
     dedupe_headers, drop_unnamed_empty, flatten_json, load_table, normalize_cells,
     normalize_table, scan_delimited, scan_json_records, scan_parquet, sniff_delimiter,

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cells
 from ..functions.cells import quoted
-from ..plans.keys import by
 
 SEED = "42"
 
@@ -19,9 +19,17 @@ def reject_empty(df: DataFrame) -> DataFrame:
     return df
 
 
+def _in_full(df: DataFrame, order_by: list[str]) -> list[str]:
+    """``order_by``, then all other columns: rows that still tie are equal, so every run shows the same."""
+    rest = [f for f in df.schema if f.name not in order_by]
+    return [*map(quoted, order_by), *[
+        f"to_json({quoted(f.name)})" if isinstance(f.dataType, (T.MapType, T.VariantType)) else quoted(f.name) for f in rest
+    ]]
+
+
 def preview(df: DataFrame, order_by: list[str], limit: int = 50) -> DataFrame:
-    """The first rows as text, missing cells blank."""
-    return df.orderBy(*by(order_by)).limit(limit).selectExpr(*[
+    """The first rows as text, missing cells blank; ties of ``order_by`` by the other columns, NULLs first."""
+    return df.orderBy(*map(F.expr, _in_full(df, order_by))).limit(limit).selectExpr(*[
         f"coalesce({cells.as_text(quoted(f.name), f.dataType)}, '') AS {quoted(f.name)}"
         for f in df.schema
     ])
@@ -72,13 +80,13 @@ def row_sample(df: DataFrame, n: int, key: list[str] | None = None) -> DataFrame
 def column_series(
     df: DataFrame, column: str, order_by: list[str], limit: int = 5000
 ) -> DataFrame:
-    """(position, number, text) of the first rows: numbers if over 60 % of all rows parse."""
+    """(position, number, text) of the first rows: numbers if over 60 % of all rows parse; ties as in a preview."""
     c, dtype = quoted(column), df.schema[column].dataType
     number, text = cells.as_number(c, dtype), cells.as_text(c, dtype)
     parsed = df.agg(F.expr(f"count({number}) > 0.6D * greatest(count(1), 1)")).scalar()
-    order = ", ".join(map(quoted, order_by))
+    order = ", ".join(_in_full(df, order_by))
     first = (
-        df.orderBy(*by(order_by))
+        df.orderBy(*map(F.expr, _in_full(df, order_by)))
         .limit(limit)
         .selectExpr(
             f"row_number() OVER (ORDER BY {order}) AS position",
