@@ -29,7 +29,8 @@ LONGEST = 5
 #: Upper to lower case for A-Z, marks that end a piece to a byte that no text holds, tab to space.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(255 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-BREAK, NEXT = b" \xff ", b" \xfe "
+#: Between texts; both bytes are in no text.
+NEXT = b"\xfe"
 #: Texts belong to one of so many blocks by their hash. A phrase's text is fetched from one block that holds it.
 BLOCKS = 1024
 #: The owner of a cell that several phrases share: every block.
@@ -44,13 +45,23 @@ SALTS = 16
 def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of texts, the place of each word in them (-1 between pieces and texts), and the text each belongs to.
 
-    White space but tab and space ends pieces or belongs to words, so what bytes.split() splits at beyond these two is gone already.
+    All on the bytes of the texts one after the other: no word becomes an object of its own.
     """
-    words = NEXT.join(t.translate(TABLE) for t in texts).replace(b"\xff", BREAK).split()
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    ends, following = (names.index(mark) if mark in names else -2 for mark in (BREAK.strip(), NEXT.strip()))
-    return names, np.where((codes == ends) | (codes == following), -1, codes), np.cumsum(codes == following)
+    letters = np.frombuffer(NEXT.join(t.translate(TABLE) for t in texts), np.uint8)
+    marks = letters >= NEXT[0]
+    gaps = marks | (letters == 32)
+    edges = np.flatnonzero(np.diff(gaps, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+    places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters[~gaps])])
+    coded = words.dictionary_encode()
+    pieces, of_text = (np.cumsum(m, dtype=np.int32)[starts] for m in (marks, letters == NEXT[0]))
+    at = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(pieces[1:] != pieces[:-1])])
+    codes, text = np.full(at[-1] + 1, -1, np.int64), np.zeros(at[-1] + 1, np.int64)
+    codes[at], text[at] = coded.indices.to_numpy(), of_text
+    return coded.dictionary.to_pylist(), codes, text
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
