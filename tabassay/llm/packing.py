@@ -10,15 +10,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tabassay.llm.common import numbered, ship, stored
 from tabassay.llm.encoding import encoder
+from tabassay.llm.ranked import RankedEncoder, agrees
 
 #: The id that ends a document.
 END_ID = (1).to_bytes(4, "little")
@@ -27,12 +30,28 @@ RUN = 1 << 22
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+@lru_cache(maxsize=2)
+def ranked(vocabulary: str) -> RankedEncoder:
+    """One encoder per worker process."""
+    return RankedEncoder(vocabulary)
+
+
+@lru_cache(maxsize=2)
+def id_type(vocabulary: str) -> str:
+    """Two bytes for an id where all fit, else four."""
+    return "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab().values()) < 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, vocabulary: str, window: int, text: str = "text") -> DataFrame:
-    """Full windows and rests of all documents; a rest also has its ids (`rest`, 16 bits each). A null text is empty."""
+    """Full windows and rests of all documents; a rest also has its ids (`rest`, of the type `kind`). A null text is empty.
+
+    Ids come from ranks where these agree with the vocabulary's pairs, else from the exact encoder.
+    """
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, rest binary"
+    by_ranks, kind = agrees(vocabulary), id_type(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary)
+        code = ranked(vocabulary) if by_ranks else encoder(vocabulary)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rest"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
@@ -41,8 +60,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int, text: str = "text") ->
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]
-                    short = len(part) < 4 * window
-                    rest = np.frombuffer(part, "<u4").astype("<u2").tobytes() if short else None
+                    rest = np.frombuffer(part, "<u4").astype(kind).tobytes() if len(part) < 4 * window else None
                     for column, value in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), total, rest)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.binary())], names)
@@ -136,6 +154,7 @@ def packed(docs: DataFrame, vocabulary: str, window: int = 2048, text: str = "te
     table = spark.sparkContext.broadcast(intervals(chosen))
     left = sum(n * c for n, c in histogram.items()) - sum(sum(parts) * c for parts, c in chosen)
     runs = max(1, -(-left // RUN))
+    kind = id_type(vocabulary)
     schema = "uid bigint, " + PIECES + ", rest binary"
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +175,7 @@ def packed(docs: DataFrame, vocabulary: str, window: int = 2048, text: str = "te
 
     def lay(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("uid")
-        ids = [np.frombuffer(b, "<u2").astype("<u4") for b in frame["rest"]]
+        ids = [np.frombuffer(b, kind).astype("<u4") for b in frame["rest"]]
         doc, start, total, run = (frame[c].to_list() for c in ("doc_id", "start", "doc_tokens", "run"))
         rows = [
             (doc[i], start[i] + at, n, zlib.crc32(ids[i][at : at + n].tobytes()), total[i], (run[i] << 32 | k) * 4 + 2, offset)

@@ -17,6 +17,7 @@ from tabassay.llm import chat, encoding, importance, neighbours, packing, qualit
 from tabassay.llm import queries as registered
 from tabassay.llm.bpe import Encoder, Lexicon, Vocabulary, compiled
 from tabassay.llm.queries import VOCABULARY
+from tabassay.llm.ranked import RankedEncoder, agrees
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, kept string, uid string"
 PROSE = "The river ran past the old mill and over the stones. Nobody had seen the miller for some days, they said. "
@@ -77,6 +78,17 @@ def test_words_are_merged_as_the_library_does(library, tmp_path):
     assert all(words.decoded(ids(library, t)) == library.decode(ids(library, t), skip_special_tokens=False) for t in texts)
 
 
+def test_ranks_give_the_ids_of_the_library(library):
+    rnd = random.Random(6)
+    assert agrees(VOCABULARY)
+    coder = RankedEncoder(VOCABULARY)
+    rare, common = "aB'sSΣσς İıéé̀ñ 0½²Ⅷ日本\x1c \xa0​-_!?\n\x00👍𝕏Ǆﬁ", "aB'stmdrevl ''' 0½é-!\n\x1c\x85\xa0"
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60))) for signs in (rare, common) for _ in range(400)]
+    texts += ["it's <|endoftext|>WE'LL <|startoftext|>", "'", "", " ", "thing" * 3000, "don't ''s 're'll've", prose(1, 900)]
+    for group in (1, 50, 10**6):
+        assert [list(array("I", x)) for x in coder.many(texts, group=group)] == [ids(library, t) for t in texts]
+
+
 def test_lexicon_shares_suffixes(tmp_path):
     block = {f"{a}ing".encode(): array("I", [i]).tobytes() for i, a in enumerate("abcdef")}
     (tmp_path / "x").write_bytes(compiled(block))
