@@ -1010,6 +1010,11 @@ def _(spark, sf):
     return ta.fix_dedupe(orders(spark, sf))
 
 
+@query("f5_fix_dedupe_digests_first", "SELECT DISTINCT text, lang, source, n_chars FROM documents")
+def _(spark, sf):
+    return ta.fix_dedupe(table(spark, sf, "documents").drop("doc_id"), digests_first=True)
+
+
 _FIXES = {"date": "strip_whitespace", "store_id": "drop_nulls", "email": "impute_mode", "order_key": "dedupe"}
 
 

@@ -138,9 +138,14 @@ def email_fault(s: str) -> str:
     )
 
 
+def is_moment(dtype: T.DataType) -> bool:
+    """Whether the type holds days or times, so that nothing has to be parsed."""
+    return isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
 def as_timestamp(c: str, dtype: T.DataType) -> str:
     """A cell as a timestamp: typed ones as they are, text by a list of formats."""
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    if is_moment(dtype):
         return f"CAST({c} AS TIMESTAMP)"
     s = strip(as_text(c, dtype))
     tries = ", ".join(f"try_to_timestamp({s}, {literal(f)})" for f in fv.DATE_FORMATS)

@@ -10,10 +10,13 @@ from ..functions import cells
 from ..functions import fixed_values as fv
 from ..functions.cells import quoted
 from ..plans.frequency import Frequencies
+from ..plans.marks import with_marks
 from ..plans.quantiles import exact_quantiles
 
 
 IMPUTES = ("impute_median", "impute_mode")
+#: Bits of the filter of repeated rows: at most 8 MB, whatever the table's size.
+REPEAT_BITS = 1 << 26
 
 
 def fix_drop_nulls(df: DataFrame, column: str) -> DataFrame:
@@ -99,9 +102,22 @@ def fix_strip_whitespace(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({column: F.expr(cells.strip(text))})
 
 
-def fix_dedupe(df: DataFrame) -> DataFrame:
-    """Each distinct row once."""
-    return df.dropDuplicates()
+def fix_dedupe(df: DataFrame, digests_first: bool = False) -> DataFrame:
+    """Each distinct row once.
+
+    ``digests_first`` is for wide rows of which few repeat, on a cluster: digests are counted first, and a filter of fixed size marks
+    those that repeat. Rows it does not mark occur once and stay where they are, only the others are shuffled whole
+    and compared, so a chance match costs time and no row. The table, which must read the same each time, is read three
+    times. Rows that compare equal must hash alike, so text that ignores case or accents by its type takes the plain way.
+    """
+    if not digests_first or "collate" in df.schema.simpleString():
+        return df.dropDuplicates()
+    one, two = cells.row_digest(df.schema)
+    copies = df.selectExpr(f"{one} AS hash", f"{two} AS other").groupBy("hash", "other").count().where("count > 1")
+    rows = df.select(F.struct("*").alias("row"), F.expr(one).alias("hash"))
+    marked = with_marks(rows, copies, "marked", REPEAT_BITS)
+    once, doubtful = (marked.where(which).select("row.*") for which in ("NOT marked", "marked"))
+    return once.unionByName(doubtful.dropDuplicates())
 
 
 def apply_fixes(df: DataFrame, fixes: dict[str, str]) -> DataFrame:

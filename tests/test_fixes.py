@@ -49,6 +49,22 @@ def test_dedupe(rows):
     assert fix_dedupe(rows).count() == 4
 
 
+def test_dedupe_keeps_rows_that_occur_once_where_they_are(spark):
+    data = [(i, f"text {i % 50}", float(i % 7) or None) for i in range(400)] + [(3, "text 3", 3.0), (0, "text 0", None)] * 30
+    data += [(1000, None, -0.0), (1000, None, 0.0), (None, None, None), (None, None, None), (1001, "x", float("nan")), (1001, "x", float("nan"))]
+    df = spark.createDataFrame(data, "i int, `a b` string, `#h1` double").repartition(5)
+    fixed = fix_dedupe(df, True)
+    assert fixed.schema == df.schema
+    key = lambda r: tuple(map(str, r))
+    plain = lambda rows: sorted((key((i, s, 0.0 if d == 0 else d)) for i, s, d in rows))
+    assert plain(fixed.collect()) == plain(df.dropDuplicates().collect())
+    assert fix_dedupe(df.limit(0), True).count() == 0
+    lower = spark.createDataFrame([("A",), ("a",), ("b",)], "s string").selectExpr("s COLLATE UTF8_LCASE AS s")
+    assert fix_dedupe(lower, True).count() == 2
+    plan = fix_dedupe(df, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "bitmap_construct_agg" in plan
+
+
 def test_apply_in_order(rows):
     fixed = apply_fixes(rows, {"t": "drop_nulls", "s": "impute_mode", "d": "dedupe"})
     assert fixed.count() == 3
