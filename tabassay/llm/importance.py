@@ -146,13 +146,15 @@ def resampled(
 ) -> DataFrame:
     """`doc` (the carried columns with doc_id, packed), `weight`, `key` and `kept`: whether the document is in the sample.
 
-    Rows whose keys tie with the k-th all stay, so repeated rows share a fate. Without labelled good and bad documents all
+    Rows whose keys tie with the k-th all stay, so repeated rows share a fate. Of several documents with one labelled id the
+    lowest weight tells where to cut. Without labelled good and bad documents all
     stay. An empty table gives an empty result.
     """
     rows = weighted(docs, labels, text=text, carried=carried)
     chance = (F.shiftrightunsigned(F.xxhash64("doc.doc_id", "weight", F.lit(seed)), 12) + 0.5) / float(1 << 52)
     rows = stored(rows.withColumn("key", F.col("weight") / temperature - F.log(-F.log(chance))), "weights")
-    seen = rows.where("quality IS NOT NULL").select("quality", "weight").limit(40_000).toPandas()  # labels bound it, but for repeated ids
+    labelled = rows.where("quality IS NOT NULL").groupBy("doc.doc_id").agg(F.min("quality").alias("quality"), F.min("weight").alias("weight"))
+    seen = labelled.select("quality", "weight").toPandas()  # a row per labelled id, at most `sample` of `weighted`
     good, bad = (seen["weight"][seen["quality"] == q].to_numpy() for q in (1, 0))
     k = rows.where(F.col("weight") >= best_cut(good, bad)).count()
     return rows.select("doc", "weight", "key", (F.col("key") >= threshold(rows, "key", k)).alias("kept"))

@@ -173,6 +173,8 @@ def test_importance_finds_what_is_labelled_good(spark, odd, empty):
     assert importance.sampled(odd, labels.limit(0)).count() == odd.count()
     assert importance.sampled(empty, labels).count() == 0
     assert importance.sampled(odd, labels).count() <= odd.count()
+    again = docs.union(docs.where("doc_id < 60")).union(docs.where("doc_id < 60"))  # labelled ids that repeat move no cut
+    assert {r[0] for r in importance.sampled(again, labels).select("doc_id").collect()} == kept
 
 
 def test_threshold_is_the_kth_largest(spark):
