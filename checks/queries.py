@@ -155,17 +155,30 @@ def _as_json_arrays(rows: DataFrame, path: str) -> None:
     rows.mapInArrow(wrap, "value string").write.text(path)
 
 
-@query(
-    "a1_scan_delimited_line_breaks",
+_BROKEN_TEXTS = (
     f"SELECT {_normal_select(['conv_id', 'turn', 'role', 'text'])} FROM (SELECT conv_id, turn, role,"
-    " role || chr(10) || chr(34) || text || chr(34) || ', ' AS text FROM conversations)",
+    " role || chr(10) || chr(34) || text || chr(34) || ', ' AS text FROM conversations)"
 )
-def _(spark, sf):
+
+
+def _with_broken_texts(spark, sf) -> str:
+    """Conversations whose texts hold line breaks, quotes and separators, as delimited files."""
     path = shared_folder(spark)
     table(spark, sf, "conversations").selectExpr(
         "conv_id", "turn", "role", "concat(role, '\\n\"', text, '\", ') AS text"
     ).write.options(header=True, escape='"', quoteAll=True).csv(path)
-    return ta.scan_delimited(spark, path)
+    return path
+
+
+@query("a1_scan_delimited_line_breaks", _BROKEN_TEXTS)
+def _(spark, sf):
+    return ta.scan_delimited(spark, _with_broken_texts(spark, sf))
+
+
+@query("a1_scan_delimited_split", _BROKEN_TEXTS)
+def _(spark, sf):
+    """The same files, each read by as many tasks as it has blocks."""
+    return ta.scan_delimited(spark, _with_broken_texts(spark, sf), split=True)
 
 
 @query(

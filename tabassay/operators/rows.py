@@ -10,6 +10,10 @@ from ..functions import cells
 from ..functions.cells import quoted
 
 SEED = "42"
+#: Hex digits of a row's place in the order of a sample: 32 of the key and up to 34 of the row, in steps.
+STEP, DIGITS = 5, 70
+#: Rows that one task may order.
+SORTED = 100_000
 
 
 def reject_empty(df: DataFrame) -> DataFrame:
@@ -41,8 +45,9 @@ def row_sample(df: DataFrame, n: int, key: list[str] | None = None) -> DataFrame
     Rows are taken in the order of a hash of ``key``, of the whole row when it is not
     given; rows with equal keys by their content. A NULL in a key is a value like any other.
     A count per five leading hex digits (a million counts at most) tells how far
-    down that order the sample reaches: rows of smaller digits are all taken where they are, and only
-    those that share the last digits are ordered.
+    down that order the sample reaches: rows of smaller digits are all taken where they are. Those that share the last digits
+    are counted by five further digits, until they are at most ``SORTED``, which one task orders, or equal in all
+    digits. So neither a key nor a row that fills the table is ordered in one task.
     """
     if n < 1:
         raise ValueError("a sample has at least one row")
@@ -54,27 +59,31 @@ def row_sample(df: DataFrame, n: int, key: list[str] | None = None) -> DataFrame
         mark = f"md5(concat({', '.join(parts)}, '{SEED}'))"
     else:
         mark = f"md5({digest})"
-    marked = df.selectExpr(
-        *map(quoted, df.columns), f"{mark} AS `#mark`", f"{digest} AS `#digest`"
-    ).withColumn("#prefix", F.substring("#mark", 1, 5))
-    per_prefix = (
-        marked.groupBy("#prefix")
-        .agg(F.expr("count(1) AS n"))
-        .selectExpr("`#prefix` AS prefix", "n", "sum(n) OVER (ORDER BY `#prefix`) AS upto")
-        .where(f"upto >= {n}")
-        .agg(F.expr("min_by(struct(prefix, upto - n AS before), prefix) AS last"))
-    )
-    # NULL when the table has fewer than n rows: then every row is below the last prefix
-    last = per_prefix.scalar()
-    below = marked.where(F.coalesce(F.col("#prefix") < last["prefix"], F.lit(True)))
-    order = Window.orderBy("#mark", "#digest")
-    at = (
-        marked.where(F.col("#prefix") == last["prefix"])
-        .withColumn("#rank", F.row_number().over(order))
-        .where(F.col("#rank") <= n - last["before"])
-        .drop("#rank")
-    )
-    return below.unionByName(at).drop("#mark", "#digest", "#prefix")
+    # padded, so that every row has the same number of digits
+    marked = df.selectExpr(*map(quoted, df.columns), f"rpad(concat({mark}, {digest}), {DIGITS}, '#') AS `#order`")
+    order = F.col("#order")
+    prefix, before = "", 0
+    while len(prefix) < DIGITS:
+        last = (
+            marked.where(order.startswith(prefix))
+            .groupBy(F.substring(order, 1, len(prefix) + STEP).alias("prefix"))
+            .agg(F.expr("count(1) AS n"))
+            .selectExpr("prefix", "n", f"{before} + sum(n) OVER (ORDER BY prefix) AS upto")
+            .where(f"upto >= {n}")
+            .agg(F.expr("min_by(struct(prefix, n, upto - n AS before), prefix) AS last"))
+        ).first()["last"]
+        if last is None:  # fewer than n rows, so all
+            return df
+        prefix, before = last["prefix"], last["before"]
+        if last["n"] <= SORTED:
+            break
+    at = marked.where(order.startswith(prefix))
+    if last["n"] <= SORTED:
+        rank = F.row_number().over(Window.orderBy("#order"))
+        at = at.withColumn("#rank", rank).where(F.col("#rank") <= n - before).drop("#rank")
+    else:  # equal rows
+        at = at.limit(n - before)
+    return marked.where(order < prefix).unionByName(at).drop("#order")
 
 
 def column_series(

@@ -13,6 +13,7 @@ from ..functions import cells
 from ..functions import fixed_values as fv
 from ..functions.cells import literal, quoted
 from ..operators.rows import reject_empty
+from .quoted_lines import quoted_records
 
 DELIMITED, JSON, PARQUET = (".csv", ".tsv", ".txt"), (".json",), (".parquet",)
 
@@ -159,6 +160,7 @@ def scan_delimited(
     sep: str | None = None,
     encoding: str = "UTF-8",
     multi_line: bool = True,
+    split: bool = False,
 ) -> DataFrame:
     """A delimited file or folder with headers, as text.
 
@@ -166,20 +168,23 @@ def scan_delimited(
     delimiter and header record are read together, and those of others joined on by column name. With a given ``sep``
     all files must have one header, else it is an error. A row with more cells than its header is an error, one
     with fewer is filled up. Quotes may hold line breaks, so a file is read by one task; with ``multi_line=False``
-    files stay splittable and must have none.
+    files stay splittable and must have none. With ``split`` many tasks read a UTF-8 file whose quotes hold line breaks, at the
+    price of three scans; a quote inside a cell that is not quoted is then an error (``quoted_records``).
     """
+    if split and encoding.upper() not in ("UTF-8", "UTF8"):
+        raise ValueError("only UTF-8 files can be split")
     if sep is None and path.lower().endswith(".tsv"):
         sep = "\t"
     if sep is not None:
         _reject_other_headers(spark, path, sep, encoding, multi_line)
-        return normalize_table(_read_delimited(spark, [path], sep, encoding, multi_line))
+        return normalize_table(_read_delimited(spark, [path], sep, encoding, multi_line, split))
     alike: dict[tuple[str, str], list[str]] = {}
     for head in _file_heads(spark, path).orderBy("path").toLocalIterator():
         alike.setdefault((head["delimiter"], head["header"]), []).append(unquote(head["path"]))
     if not alike:
         raise ValueError("File has no rows or columns")
     parts = [
-        dedupe_headers(_read_delimited(spark, files, d, encoding, multi_line)) for (d, _), files in alike.items()
+        dedupe_headers(_read_delimited(spark, files, d, encoding, multi_line, split)) for (d, _), files in alike.items()
     ]
     return normalize_table(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
@@ -210,7 +215,7 @@ def _reject_other_headers(spark: SparkSession, path: str, sep: str, encoding: st
 
 
 def _read_delimited(
-    spark: SparkSession, paths: list[str], sep: str, encoding: str, multi_line: bool
+    spark: SparkSession, paths: list[str], sep: str, encoding: str, multi_line: bool, split: bool = False
 ) -> DataFrame:
     options = _options(sep, encoding, multi_line)
     header = spark.read.options(**options, header=False).csv(paths).first()
@@ -218,7 +223,12 @@ def _read_delimited(
         raise ValueError("File has no rows or columns")
     names = [*(f"c{i}" for i in range(len(header))), SURPLUS]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(paths)
+    if split:
+        # a generator, so that a record is parsed once whatever is asked of it
+        parsed = F.from_csv("record", schema.toDDL(), {k: str(v) for k, v in options.items()})
+        rows = quoted_records(spark, paths, sep).select(F.inline(F.array(parsed)))
+    else:
+        rows = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(paths)
     message = f"a row has more cells than the {len(header)} of its header"
     whole = rows.where(f"IF(`{SURPLUS}` IS NULL, true, raise_error({literal(message)}))").drop(SURPLUS)
     return whole.toDF(*_mangled(list(header)))

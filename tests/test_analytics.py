@@ -1,5 +1,8 @@
 """Chart aggregates, samples, previews."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from tabassay import (
     reject_empty, row_completeness, row_sample, scatter_sample, stacked_null, strong_pairs,
     table_score, top_categories,
 )
+from tabassay.operators import rows
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +108,21 @@ def test_row_sample_keeps_null_keys_and_orders_only_the_last_prefix(spark):
     assert largest < 100_000  # no task holds the whole sample
 
 
+@pytest.mark.parametrize("n", [30, 700, 1500, 2999])
+def test_row_sample_of_a_hot_key_orders_a_few_rows_only(spark, monkeypatch, n):
+    """A third of the rows share a key, another third are one row; the order is that of one sort over all."""
+    df = spark.range(3000).selectExpr("IF(id % 3 = 2, id, id % 3) AS k", "IF(id % 3 = 1, 0, id) AS v").repartition(8)
+    want = sorted(map(tuple, row_sample(df, n, ["k"]).collect()))
+    monkeypatch.setattr(rows, "SORTED", 4)
+    sample = row_sample(df, n, ["k"])
+    assert sorted(map(tuple, sample.collect())) == want and len(want) == n
+    ranked = [int(r) for r in re.findall(r"#rank#?\d* <= (\d+)", sample._jdf.queryExecution().optimizedPlan().toString())]
+    assert all(r <= 4 for r in ranked)
+    marks = {k: hashlib.md5(f"{k}42".encode()).hexdigest() for k, _ in want}
+    every = sorted((hashlib.md5(f"{r['k']}42".encode()).hexdigest(), r["k"]) for r in df.collect())
+    assert sorted((marks[k], k) for k, _ in want) == every[:n]
+
+
 def test_row_sample_of_one_repeated_row(spark):
     same = spark.range(50).selectExpr("1 AS a")
     assert row_sample(same, 20).count() == 20

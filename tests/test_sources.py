@@ -1,8 +1,10 @@
 """Readers over small files."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabassay import (
     dedupe_headers, drop_unnamed_empty, flatten_json, load_table, normalize_cells, scan_delimited,
@@ -167,3 +169,60 @@ def test_rejected(spark, tmp_path):
     path.write_text("name\n")
     with pytest.raises(ValueError, match="no rows"):
         load_table(spark, str(path))
+
+
+@pytest.fixture
+def small_blocks(spark):
+    sizes = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    kept = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def written(rows, sep, end="\n"):
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if any(c in v for c in (sep, '"', "\n", "\r")) else v
+    return "".join(sep.join(map(quoted, row)) + end for row in rows)
+
+
+@pytest.mark.parametrize("sep, end", [(",", "\n"), ("|", "\n"), ("\t", "\r\n"), (";", "\n")])
+def test_a_split_file_is_read_like_a_whole_one(spark, tmp_path, small_blocks, sep, end):
+    """Breaks, quotes and separators fall on the edges of blocks of 97 bytes; one record spans many blocks."""
+    dice = random.Random(sep)
+    pieces = ["x", "wörd ", "\n", "\n\n", '"', '""', sep, "12", " ", "'", "\\", '"' + sep, "long " * 9, "\r\n"]
+    rows = [[str(i), *("".join(dice.choices(pieces, k=dice.randrange(6))) for _ in range(2))] for i in range(300)]
+    rows[17][1] = ("a line\n" * 90) + '"'
+    rows[18:18] = [["only", "", ""]]
+    for name, part in {"a.csv": rows[:150], "b c.csv": rows[150:]}.items():
+        (tmp_path / name).write_bytes(written([["id", 'first\n"name"', "second"], *part], sep, end).encode())
+    whole, split = (scan_delimited(spark, str(tmp_path), sep=sep, split=s) for s in (False, True))
+    assert whole.columns == split.columns and whole.count() == 301
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+    assert split.rdd.getNumPartitions() > 20 > whole.rdd.getNumPartitions()
+    assert sorted(map(str, scan_delimited(spark, str(tmp_path), split=True).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_split_files_without_rows_blank_lines_and_faults(spark, tmp_path, small_blocks):
+    path = tmp_path / "a.csv"
+    path.write_text('\n\nx,y\n\n1,2\n\n"3\n\n",\n5\n')
+    assert [tuple(r) for r in scan_delimited(spark, str(path), split=True).orderBy("x").collect()] == [("1", "2"), ("3", None), ("5", None)]
+    path.write_text("x,y\n")
+    assert scan_delimited(spark, str(path), split=True).count() == 0
+    for text, fault in {'x,y\n1,"2\n': "never closed", 'x,y\n1,5" 6"\n': "not quoted", "x,y\n1,2,3\n": "more cells"}.items():
+        path.write_text(text)
+        with pytest.raises(Exception, match=fault):
+            scan_delimited(spark, str(path), split=True).collect()
+    with pytest.raises(ValueError, match="UTF-8"):
+        scan_delimited(spark, str(path), encoding="ISO-8859-1", split=True)
+    with pytest.raises(ValueError):
+        path.write_text("")
+        scan_delimited(spark, str(path), split=True)
+
+
+def test_a_split_file_without_quotes(spark, tmp_path, small_blocks):
+    path = tmp_path / "a.csv"
+    path.write_text("x,y\n" + "".join(f"{i},{i}\n" for i in range(2000)))
+    df = scan_delimited(spark, str(path), split=True)
+    assert df.count() == 2000 and df.agg(F.sum("x")).first()[0] == 1999000
