@@ -167,14 +167,14 @@ def _completed(links: DataFrame, members: Callable[[], DataFrame], width: int, d
     large = links.where("later").select(F.col("a").alias("table"), F.col("b").alias("key")).distinct()
     if large.isEmpty():
         return near
-    # At most one key for each MOST of a table's rows.
-    rows = members().join(F.broadcast(large), ["table", "key"]).join(components(near), "id", "left")
+    # Without hints: there may be a key for each MOST of a table's rows, so Spark broadcasts them only while they are few.
+    rows = members().join(large, ["table", "key"]).join(components(near), "id", "left")
     rows = stored(rows.select("table", "key", "id", "bits", F.coalesce("root", "id").alias("root")), "members")
     counts = rows.groupBy("table", "key", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("table", "key").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")
     )
-    rows = rows.join(F.broadcast(main), ["table", "key"])
+    rows = rows.join(main, ["table", "key"])
     blocks = lambda n: F.ceil(F.col(n) / MOST)
     block = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), blocks(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
@@ -298,9 +298,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, text: st
 # --- Similarity of 0.8 and more -------------------------------------------------------------
 
 WIDE = 8  # 64-bit parts of a wide fingerprint
-#: Expected bits between texts whose shingles have a Jaccard similarity of 0.8 are 77 of 512, with deviation 8.
-FAR = 84
-CROSSED = 16
+#: Bits between texts whose shingles have a Jaccard similarity of 0.8: 77 of 512 expected, with deviation 8; two deviations more link.
+EXPECTED = 77
+FAR = 93
+#: Keys that such texts are expected to share; they share none with a chance of exp(-3.5).
+SHARED = 3.5
 
 
 def _wide(hashes: np.ndarray) -> np.ndarray:
@@ -315,12 +317,29 @@ def _wide(hashes: np.ndarray) -> np.ndarray:
     return _majority(np.stack(columns, 1))
 
 
-def _blocks(bits: np.ndarray) -> np.ndarray:
-    """Keys of 16 bits: the 32 neighbouring blocks of each row, and 16 blocks of bits that lie 32 apart."""
+def _key_bits(texts: int) -> int:
+    """Bits of a key: some 64 unrelated texts share one at any number of texts over four million."""
+    return min(62, max(16, texts.bit_length() - 6))
+
+
+def _chosen(key_bits: int) -> np.ndarray:
+    """The bits of each key: neighbouring blocks, then blocks of shuffled bits, until texts of a similarity of 0.8 share SHARED keys."""
+    every, dice = WIDE * BITS, np.random.default_rng(0)
+    tables = int(np.ceil(SHARED / (1 - EXPECTED / every) ** key_bits))
+    orders = [np.arange(every)]
+    while len(orders) * (every // key_bits) < tables:
+        orders.append(dice.permutation(every))
+    blocks = [order[: every // key_bits * key_bits].reshape(-1, key_bits) for order in orders]
+    return np.concatenate(blocks)[:tables]
+
+
+def _blocks(bits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The keys of each row, a column per row of `chosen`."""
     flat = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little")
-    crossed = flat.reshape(len(bits), 16, 32).transpose(0, 2, 1)[:, :CROSSED]
-    crossed = np.packbits(np.ascontiguousarray(crossed).reshape(len(bits), -1), axis=1, bitorder="little").view("<u2")
-    return np.concatenate([np.ascontiguousarray(bits).view("<u2"), crossed], 1)
+    keys = np.zeros((len(bits), len(chosen)), np.int64)
+    for place in chosen.T:
+        keys = (keys << 1) | flat[:, place]
+    return keys
 
 
 def _sketches(docs: DataFrame, width: int, text: str) -> DataFrame:
@@ -343,19 +362,22 @@ def one_per_group(docs: DataFrame, width: int = 5, text: str = "text") -> DataFr
 
     Words and shingles are those of `fingerprints`. Equal texts are one group always; a null text is empty; texts without words
     are copies only of equal ones. Repeated rows leave one. An empty table stays empty. Columns are kept as they are.
-    Pairs that share none of 48 blocks are missed: about 3 % at a similarity of 0.8, under 1 % from 0.85 on.
+    Keys widen with the number of texts, and their number with them, so that work per text grows slowly. Pairs that share no key are
+    missed: about 3 % at a similarity of 0.8, under 1 % from 0.85 on; so are some 2 % at 0.8 beyond FAR bits. Most pairs
+    from 0.75 on lie within FAR bits too.
     """
     ship(docs.sparkSession)
     sketches = stored(_sketches(docs, width, text), "sketches")
     texts = sketches.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits"))
     texts = stored(texts.withColumn("id", F.xxhash64("digest")), "texts")
+    chosen = _chosen(_key_bits(texts.count()))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WIDE)
-                keys = _blocks(bits).astype(np.int64)
+                keys = _blocks(bits, chosen)
                 n, tables = keys.shape
                 rows = np.repeat(np.arange(n), tables)
                 yield pa.RecordBatch.from_arrays(

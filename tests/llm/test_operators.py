@@ -243,6 +243,42 @@ def test_one_per_group(spark, odd, empty):
     assert simhash.one_per_group(empty).count() == 0
 
 
+def test_near_copies_of_a_similarity_of_0_8_are_found_and_clean_documents_stay(spark):
+    """Pairs in bands of similarity, counted on their sets of shingles; strangers share a fifth of their text at most."""
+    dice = random.Random(3)
+    rows, pairs = [], []
+    for i in range(400):
+        words = prose(1000 + i, 500).split()
+        edits = sorted(dice.sample(range(10, 490), dice.randrange(1, 16)))
+        other = [f"edit{w}x{i}" if j in edits else w for j, w in enumerate(words)]
+        shingles = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (words, other)]
+        pairs.append((2 * i, len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    shared = prose(77, 60)
+    rows += [(i, f"{shared} {prose(5000 + i, 300)}") for i in range(900, 1100)]
+    kept = {r["doc_id"] for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept >= {d for d, _ in pairs} | set(range(900, 1100))
+    for low, high in ((0.8, 0.85), (0.85, 1.01)):
+        band = [d + 1 not in kept for d, s in pairs if low <= s < high]
+        assert len(band) > 30 and sum(band) / len(band) >= 0.9, (low, sum(band), len(band))
+
+
+@pytest.mark.parametrize("texts", [10, 10**6, 10**9, 10**11])
+def test_keys_widen_with_the_number_of_texts(texts):
+    width = simhash._key_bits(texts)
+    assert texts / 2**width <= 64 and width <= 62
+    chosen = simhash._chosen(width)
+    assert all(len(set(row)) == width for row in chosen.tolist())
+    # texts that differ in EXPECTED bits share a key, as computed from the bits chosen
+    dice = np.random.default_rng(1)
+    bits = dice.integers(0, 1 << 63, (200, simhash.WIDE), dtype=np.uint64)
+    others = bits.copy()
+    for row in others:
+        for at in dice.choice(512, simhash.EXPECTED, replace=False):
+            row[at // 64] ^= np.uint64(1 << int(at % 64))
+    assert (simhash._blocks(bits, chosen) == simhash._blocks(others, chosen)).any(1).mean() > 0.92
+
+
 def crowded(width, distance, n=700):
     """Members of one key: a chain whose links only neighbours make, pairs that lie far apart in the order, and unrelated ones."""
     rnd = np.random.default_rng(8)
