@@ -72,11 +72,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def hashes(names: list[bytes], lang: bytes) -> list[np.ndarray]:
-    """Two independent hashes of each word, other ones in each language."""
+    """Two independent hashes of each word, other ones in each language.
+
+    The language's hash is mixed before it is added: a word that is another language's name ("de" in "en", "en" in "de") shares no sum.
+    """
     both = []
     for key in ("phrases of words", "words of phrases"):
         table = pd.util.hash_array(np.array([*names, lang, b""], dtype=object), hash_key=key, categorize=False)
-        both.append(mixed(table[:-2] + table[-2]))
+        both.append(mixed(table[:-2] + mixed(table[-2:-1])))
     return both
 
 

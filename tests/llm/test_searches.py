@@ -213,6 +213,17 @@ def test_collocations_count_as_brute_force(spark, options):
     assert sorted(map(tuple, found.collect())) == brute_phrases([(r[2], r[1]) for r in rows], 5, 30)
 
 
+def test_words_that_are_names_of_languages_count_in_their_own(spark):
+    """"de" in "en" and "en" in "de" had one digest, so the counts of both were added up."""
+    rnd = random.Random(9)
+    names = ["de", "en", "und", "es"]
+    words = ["de", "en", "en", "und", "es", "x\x00", "\x00", "\u00a0", "\x85", "A\u2028b", "İ", "ﬀ", "'\"", "Ä"]
+    rows = [(rnd.choice([*names, None]), "".join(rnd.choice(words) + rnd.choice([" ", " ", "\t", ".", "\x0b", "\x0c", "\r\n"]) for _ in range(90))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, lang, *["s", 1], *["clash"] * 4) for i, (lang, t) in enumerate(rows)], DOCS)
+    found = phrases.collocations(docs, least=5, most=200, cell_bits=12)
+    assert sorted(map(tuple, found.collect())) == brute_phrases(rows, 5, 200)
+
+
 def test_no_rows_give_no_collocations(spark):
     found = phrases.collocations(spark.createDataFrame([], DOCS), shards=2, cell_bits=8)
     assert found.collect() == []
