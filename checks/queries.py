@@ -1345,10 +1345,12 @@ _REPORT = f"""{ORDERS_SCORED} {o.dimensions({c: 'text' for c in _RETAIL}, date='
 
 @query("h6_report_rows", _REPORT)
 def _(spark, sf):
+    """The profile, the duplicates, the rules and the dimensions are each computed once."""
     df, rules = contract_rules(spark, sf, "retail")
-    rows, dimensions = ta.evaluate_rules(df, rules), dims(spark, sf, "retail")
+    rows, columns, copies = ta.settled(ta.evaluate_rules(df, rules), scored(spark, sf), ta.duplicate_rows(df))
+    (dimensions,) = ta.settled(ta.dimension_scores(df, columns, copies, "retail", as_of=AS_OF))
     return ta.report_rows(
-        scored(spark, sf), scores(spark, sf),
+        columns, ta.table_score(columns, copies),
         assessment=ta.assess_contract(df, rows, dimensions, "retail"),
         contributions=ta.dimension_contributions(dimensions, "retail"),
         rule_rows=rows,

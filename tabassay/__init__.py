@@ -30,6 +30,7 @@ from .operators.scoring import (
 from .operators.sketches import (
     approximate_profile, column_sketches, merge_sketches, read_sketches,
 )
+from .plans.keys import settled
 from .sources.readers import (
     dedupe_headers, drop_unnamed_empty, flatten_json, load_table, normalize_cells,
     normalize_table, scan_delimited, scan_json_records, scan_parquet, sniff_delimiter,

@@ -149,55 +149,60 @@ def report_rows(
 ) -> DataFrame:
     """(section, ordinal, text): the report, section by section.
 
-    The wordings are fixed values.
+    Each table but ``drift`` is read once, so that what it is computed from runs once. The wordings are fixed values.
     """
     scores = "concat({}, '/100 — ', level)"
     parts = []
 
-    def add(section: int, name: str, rows: DataFrame, text: str, ordinal: str = "0") -> None:
-        parts.append(rows.selectExpr(
-            f"{section} AS part", f"{literal(name)} AS section",
-            f"CAST({ordinal} AS INT) AS ordinal", f"{text} AS text",
-        ))
+    def line(section: int, name: str, text: str, ordinal: str = "0") -> str:
+        return (
+            f"struct({section} AS part, {literal(name)} AS section,"
+            f" CAST({ordinal} AS INT) AS ordinal, {text} AS text)"
+        )
+
+    def add(rows: DataFrame, *lines: str) -> None:
+        parts.append(rows.selectExpr(f"inline(array({', '.join(lines)}))"))
 
     if assessment is not None:
         contract = (
             "concat('Data contract: ', IF(contract_passed, 'passed', 'failed'), ' (',"
             " rules_passed, '/', rules_total, ' rules)')"
         )
-        add(0, "profile", assessment, "concat('Profile: ', profile_label)", "0")
-        add(0, "profile", assessment,
-            f"concat('Profile Score: ', {scores.format(one_decimal('overall'))})", "1")
-        add(0, "profile", assessment, contract, "2")
+        add(assessment,
+            line(0, "profile", "concat('Profile: ', profile_label)", "0"),
+            line(0, "profile", f"concat('Profile Score: ', {scores.format(one_decimal('overall'))})", "1"),
+            line(0, "profile", contract, "2"))
     if contributions is not None:
-        add(1, "dimensions", contributions,
+        add(contributions, line(1, "dimensions",
             f"concat({title('dimension')}, ': ', {one_decimal('score')}, ' (weight ',"
-            " format_string('%.0f', round(weight * 100, 0)), '%)')", "ordinal")
+            " format_string('%.0f', round(weight * 100, 0)), '%)')", "ordinal"))
     if rule_rows is not None:
-        add(2, "contract_failures", rule_rows.where("NOT passed"),
-            "concat(name, ' (', severity, '): ', message)", "ordinal")
-    add(3, "score", table, f"concat('Overall Score: ', {scores.format(one_decimal('overall'))})")
-    lines = ", ".join(
-        f"struct({i} AS ordinal, concat({title(literal(p))}, ': -', {one_decimal(p)}, ' points') AS text)"
-        for i, p in enumerate(PENALTIES)
-    )
-    add(4, "breakdown", table.selectExpr(f"inline(array({lines}))"), "text", "ordinal")
-    add(5, "columns", scored,
+        add(rule_rows.where("NOT passed"), line(2, "contract_failures",
+            "concat(name, ' (', severity, '): ', message)", "ordinal"))
+    add(table,
+        line(3, "score", f"concat('Overall Score: ', {scores.format(one_decimal('overall'))})"),
+        *[line(4, "breakdown", f"concat({title(literal(p))}, ': -', {one_decimal(p)}, ' points')", str(i))
+          for i, p in enumerate(PENALTIES)])
+    column = line(5, "columns",
         f"concat_ws(' | ', column, dtype, concat({one_decimal('null_pct')}, '%'),"
         " format_string('%,d', unique_count), quality_level,"
         " IF(size(issues) > 0, array_join(issues, '; '), '—'))", "ordinal")
-    advice = scored.selectExpr("ordinal", "posexplode(recommendations) AS (place, text)")
-    add(6, "recommendations", advice, "text", "ordinal * 100 + place")
-    none = scored.agg(F.expr("max(size(recommendations)) AS most")).where("coalesce(most, 0) <= 0")
-    add(6, "recommendations", none, "'No issues detected — data looks clean!'")
+    advice = f"transform(recommendations, (text, place) -> {line(6, 'recommendations', 'text', 'ordinal * 100 + place')})"
+    none = line(6, "recommendations", "'No issues detected — data looks clean!'")
+    # one row, which holds a few lines per column of the schema
+    parts.append(
+        scored.selectExpr(f"{column} AS line", f"{advice} AS advice")
+        .agg(F.expr("collect_list(line) AS lines"), F.expr("flatten(collect_list(advice)) AS advice"))
+        .selectExpr(f"inline(concat(lines, IF(size(advice) > 0, advice, array({none}))))")
+    )
     if drift is not None:
         from .drift import drift_summary
 
-        add(7, "drift", drift_summary(drift), "concat('Summary: ', summary)")
-        add(8, "drift_changes", drift,
+        add(drift_summary(drift), line(7, "drift", "concat('Summary: ', summary)"))
+        add(drift, line(8, "drift_changes",
             "CASE change WHEN 'added' THEN concat('Added column: ', column)"
             " WHEN 'removed' THEN concat('Removed column: ', column)"
             " WHEN 'type_changed' THEN concat(column, ': ', old_type, ' → ', new_type)"
             " ELSE concat(column, ': p = ', format_string('%.4f', round(p_value, 4))) END",
-            "CASE change WHEN 'added' THEN 0 WHEN 'removed' THEN 1 WHEN 'type_changed' THEN 2 ELSE 3 END")
+            "CASE change WHEN 'added' THEN 0 WHEN 'removed' THEN 1 WHEN 'type_changed' THEN 2 ELSE 3 END"))
     return reduce(DataFrame.unionByName, parts).orderBy("part", "ordinal", "text").drop("part")

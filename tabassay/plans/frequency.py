@@ -174,10 +174,14 @@ class Frequencies:
     def numbers(self) -> DataFrame:
         """(segment..., pos, num, n) over the values that are numbers.
 
-        The generator keeps the filter above the parsing, which else would run twice.
+        The generator keeps the filter above the parsing, which else would run twice. Where texts are parsed, a shuffle of the numbers
+        follows, which all readers share, so that a text is parsed for them once.
         """
-        parsed = self._read().selectExpr(*self.keys, "n", f"explode(array({self._number()})) AS num")
-        return parsed.where("num IS NOT NULL").selectExpr(*self.keys, "num", "n")
+        parsed = self._read().selectExpr(*self.keys, "n", f"explode(array({self._number()})) AS num").where("num IS NOT NULL")
+        if TEXT not in self.kinds:
+            return parsed.selectExpr(*self.keys, "num", "n")
+        once = parsed.groupBy(*[F.expr(k) for k in self.keys], "num").agg(F.expr("sum(n) AS n"))
+        return once.selectExpr(*self.keys, "CASE WHEN n > 0 THEN num END AS num", "n")
 
     def facts(self) -> DataFrame:
         """What each distinct value says about its column; typed values skip text tests."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,18 @@ def per_column(summary: DataFrame, segment_by: list[str]) -> DataFrame:
     return summary if segment_by else F.broadcast(summary)
 
 
+def settled(*tables: DataFrame) -> list[DataFrame]:
+    """Results of a few rows per column of the schema, computed now and once, whatever reads them afterwards.
+
+    All are computed in one job, so they share their shuffles. Their rows pass through the driver, so this is not for tables
+    that grow with the data, as those of segments do.
+    """
+    rows = [t.agg(F.expr(f"collect_list(struct({', '.join(map(quoted, t.columns))})) AS t{i}")) for i, t in enumerate(tables)]
+    stacked, spark = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).toArrow(), tables[0].sparkSession
+    kept = [stacked[f"t{i}"].combine_chunks().flatten().flatten() for i in range(len(tables))]
+    return [spark.createDataFrame(pa.table(k, names=t.columns), t.schema) for k, t in zip(kept, tables)]
+
+
 def by(segment_by: list[str]) -> list:
     return [F.expr(quoted(s)) for s in segment_by]
 

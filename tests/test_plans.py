@@ -31,6 +31,30 @@ def test_a_profile_shuffles_the_values_once(lines):
     assert "WindowGroupLimit" in plan
 
 
+def test_a_report_reads_the_profile_once(spark, lines):
+    few = lines.select("l_quantity", "l_returnflag")
+    columns = ta.column_quality(ta.profile_table(few))
+    score = ta.table_score(columns, ta.duplicate_rows(few))
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert 0 < scans(ta.report_rows(columns, spark.createDataFrame(score.collect(), score.schema))) <= scans(columns)
+
+
+def test_texts_are_parsed_once_for_all_readers_of_the_numbers(spark):
+    plan = executed(ta.profile_table(views.in_spark(spark, SF_DIR, views.MESSY_SURVEY)))
+    assert len(re.findall(r"Generate explode\(array\(CASE WHEN \(n#", plan)) == 1
+
+
+def test_settled_tables_are_read_no_more(spark):
+    rows = [(1, None, [{"v": "x", "n": 2}]), (None, "é", None), (1, None, [])]
+    odd = spark.createDataFrame(rows, "`a b` int, c string, d array<struct<v: string, n: bigint>>")
+    counted = spark.read.parquet(f"{SF_DIR}/region.parquet").selectExpr("count(1) AS n", "timestamp'2020-01-02' AS day")
+    first, none, second = ta.settled(odd, odd.where("false"), counted)
+    assert sorted(map(str, first.collect())) == sorted(map(str, odd.collect())) and first.dtypes == odd.dtypes
+    assert none.collect() == [] and none.dtypes == odd.dtypes
+    assert second.collect() == counted.collect()
+    assert "FileScan" not in second._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_segmented_profile_shuffles_the_values_once(lines):
     few = lines.select("l_returnflag", "l_quantity", "l_linestatus")
     plan = executed(ta.profile_table(few, segment_by=["l_returnflag"]))
