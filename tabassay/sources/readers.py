@@ -13,6 +13,7 @@ from ..functions import cells
 from ..functions import fixed_values as fv
 from ..functions.cells import literal, quoted
 from ..operators.rows import reject_empty
+from ..plans.keys import join_keys
 from .quoted_lines import quoted_records
 
 DELIMITED, JSON, PARQUET = (".csv", ".tsv", ".txt"), (".json",), (".parquet",)
@@ -93,7 +94,8 @@ def _delimiter_counts(text: str) -> list[str]:
 def sniff_delimiter(spark: SparkSession, path: str) -> DataFrame:
     """(path, delimiter) per file: the most frequent one in the first 2,048 characters.
 
-    Lines of a file beyond those that its first 2,048 characters can fill are read but not kept.
+    Lines of a file beyond those that its first 2,048 characters can fill are read but not shuffled; a path
+    and a number per file are broadcast.
     """
     return _file_heads(spark, path).select("path", "delimiter")
 
@@ -108,10 +110,15 @@ def _file_heads(spark: SparkSession, path: str) -> DataFrame:
     lines = (
         spark.read.option("lineSep", "\n").text(path)
         .selectExpr("_metadata.file_path AS path", "_metadata.file_block_start AS block",
-                    "monotonically_increasing_id() AS line", f"left(value, {size}) AS value",
-                    "md5(CAST(value AS BINARY)) AS digest", "length(value) - length(replace(value, '\"', '')) AS quotes")
+                    "monotonically_increasing_id() AS line", "value")
         .where("block = 0")
     )
+    # a task numbers its lines one after the other, so the first number of a file tells which are its first lines before any shuffle
+    firsts = lines.groupBy("path").agg(F.min("line").alias("first"))
+    lines = join_keys(lines, F.broadcast(firsts), ["path"]).where(f"line - first < {size}").selectExpr(
+        "path", "line", f"left(value, {size}) AS value", "md5(CAST(value AS BINARY)) AS digest",
+        "length(value) - length(replace(value, '\"', '')) AS quotes",
+    )
     in_file = Window.partitionBy("path").orderBy("line")
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     head = lines.withColumn("row", F.row_number().over(in_file)).where(F.col("row") <= size)

@@ -226,3 +226,26 @@ def test_a_split_file_without_quotes(spark, tmp_path, small_blocks):
     path.write_text("x,y\n" + "".join(f"{i},{i}\n" for i in range(2000)))
     df = scan_delimited(spark, str(path), split=True)
     assert df.count() == 2000 and df.agg(F.sum("x")).first()[0] == 1999000
+
+
+def shuffled_records(plan):
+    """Rows that the shuffles of an executed plan have written."""
+    inner = {"AdaptiveSparkPlan": "executedPlan", "ResultQueryStage": "plan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan"}
+    if plan.nodeName() in inner:
+        return shuffled_records(getattr(plan, inner[plan.nodeName()])())
+    name, metrics, children = "shuffleRecordsWritten", plan.metrics(), plan.children()
+    own = metrics.apply(name).value() if metrics.contains(name) else 0
+    return own + sum(shuffled_records(children.apply(i)) for i in range(children.size()))
+
+
+def test_only_first_lines_are_shuffled_to_find_delimiters(spark, tmp_path):
+    """Many files of one task and one of several; the separator of later lines is another."""
+    want = {}
+    for i, sep in enumerate([",", "\t", ";", "|", ";", ","]):
+        lines = [sep.join(["ab", "cd", "ef"])] * 2100 + ["x,y;z|" * 9] * (60_000 if i == 3 else 900)
+        (tmp_path / f"{i}.csv").write_text("\n".join(lines))
+        want[f"{i}.csv"] = sep
+    (tmp_path / "7.csv").write_text("\n" * 2047 + ";" + "\n" * 3000 + "|" * 9)
+    found = sniff_delimiter(spark, str(tmp_path))
+    assert {r["path"].rsplit("/", 1)[1]: r["delimiter"] for r in found.collect()} == want | {"7.csv": ";"}
+    assert 0 < shuffled_records(found._jdf.queryExecution().executedPlan()) < 7 * 2048 + 300
